@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import encode_documents
 from .common import table
 from .exact_dedup import exact_duplicates
 
@@ -14,6 +15,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), ids=False)
+
+
 _SQL = {
     "op4_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents),
