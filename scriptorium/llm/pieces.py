@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Iterator
 from typing import Generic, TypeVar
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+
 V = TypeVar("V")
 
 #: White space as Unicode's property White_Space has it (Python's ``isspace`` also has U+001C to U+001F).

@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import encode_documents
 from .common import table
 from .exact_dedup import exact_duplicates
+from .token_files import token_files
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), ids=False)
 
