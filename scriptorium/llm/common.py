@@ -54,16 +54,16 @@ def text_of(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
-def blobs_out(df: DataFrame, blob: str, path: str) -> str:
-    """Write each value of a binary column as one file of its own, followed by one newline byte.
+def blobs_out(df: DataFrame, blob: str, path: str, end: str = "\n") -> str:
+    """Write each value of a binary column as one file of its own, followed by ``end`` (one character at least).
 
     Spark's text writer serves as the byte writer, so that any store which Spark can write to will
     do. Each value should be some tens of MB at most; the caller bounds that.
     """
-    df.select(F.col(blob).cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
+    df.select(F.col(blob).cast("string").alias("value")).write.option("lineSep", end).option("maxRecordsPerFile", 1).text(path)
     return path
 
 
 def blobs_in(spark: SparkSession, path: str) -> DataFrame:
-    """``path, content`` of the files that ``blobs_out`` wrote (``content`` ends with the newline)."""
+    """``path, content`` of the files that ``blobs_out`` wrote (``content`` has their ``end``)."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")

@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .byte_bpe import encode_documents
 from .common import table
 from .exact_dedup import exact_duplicates
 from .token_files import token_files
+from .warc import dedup_archives
+
+
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_archives(table(spark, sf_dir, "pages"), min_bytes=0)
+    return out.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
