@@ -11,6 +11,7 @@ from .byte_bpe import encode_documents
 from .common import table
 from .exact_dedup import exact_duplicates
 from .token_files import token_files
+from .unigram_counts import count_tokens
 from .warc import dedup_archives
 
 
@@ -23,6 +24,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
