@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import encode_documents
 from .common import table
 from .exact_dedup import exact_duplicates
+from .html_text import main_text
 from .token_files import token_files
 from .unigram_counts import count_tokens
 from .warc import dedup_archives
@@ -32,6 +33,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), ids=False)
 
