@@ -11,6 +11,7 @@ from .byte_bpe import encode_documents
 from .common import table
 from .exact_dedup import exact_duplicates
 from .html_text import main_text
+from .quality import classify
 from .token_files import token_files
 from .unigram_counts import count_tokens
 from .warc import dedup_archives
@@ -33,6 +34,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
