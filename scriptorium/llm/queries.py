@@ -13,6 +13,7 @@ from .exact_dedup import exact_duplicates
 from .html_text import main_text
 from .quality import classify
 from .token_files import token_files
+from .toxicity import classify as classify_toxic
 from .unigram_counts import count_tokens
 from .warc import dedup_archives
 
@@ -22,6 +23,10 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
