@@ -12,6 +12,7 @@ from .common import table
 from .exact_dedup import exact_duplicates
 from .html_text import main_text
 from .quality import classify
+from .simhash import near_duplicates
 from .token_files import token_files
 from .toxicity import classify as classify_toxic
 from .unigram_counts import count_tokens
@@ -39,6 +40,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
