@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import encode_documents
 from .common import table
+from .decontaminate import contained_items
 from .exact_dedup import exact_duplicates
 from .html_text import main_text
 from .quality import classify
@@ -19,6 +20,11 @@ from .unigram_counts import count_tokens
 from .warc import dedup_archives
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shingles", "n_shared", "containment")
+
+
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_archives(table(spark, sf_dir, "pages"), min_bytes=0)
     return out.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -57,6 +63,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL = {
+    "op1_decontaminate": r"""
+        WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+             iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+             il AS (SELECT item_id, w, least(5, len(w)) AS n FROM iw WHERE len(w) > 0),
+             ig AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM il)),
+             iq AS (SELECT item_id, n, count(*) AS q FROM ig GROUP BY ALL),
+             dg AS (SELECT DISTINCT doc_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
+                    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, (SELECT DISTINCT n FROM iq) WHERE len(w) >= n))
+        SELECT doc_id, item_id, q AS n_shingles, count(*) AS n_shared, count(*) / q AS containment
+        FROM dg JOIN ig USING (n, g) JOIN iq USING (item_id, n)
+        GROUP BY doc_id, item_id, q HAVING count(*) >= 0.8 * q - 1e-9""",
     "op4_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents),
              g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
