@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.plans import spans
+from scriptorium.plans import spans, texts
 
-_MODULES = (spans,)
+_MODULES = (spans, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
