@@ -36,8 +36,10 @@ class Memo(Generic[V]):
             self.known = {k: self.known[k] for k in self.again} if 2 * len(self.again) < self.limit else {}
             self.again = set()
         known = self.known
-        new = [k for k in pieces if k not in known]
-        self.again |= pieces & known.keys()
+        new = list(pieces - known.keys())
+        if 2 * len(known) > self.limit:
+            self.again |= pieces
+            self.again.difference_update(new)
         known.update(zip(new, self.make(new)))
         self.long = [k for k in new if len(k) > self.longest]
         return known

@@ -17,14 +17,15 @@ as many ids of one width as the selector says, the first in the lowest bits; wor
 Selector 0 is the escape: the id, which is wider than 60
 bits, is the next word as it is. Decoding treats all words with the same selector at once.
 
-The library encodes distinct words, cut at white space, and of those the distinct matches of its
-pattern: no merge crosses either. They are remembered in each worker within bounds. Strings of special tokens in a text are
+The library encodes distinct parts of texts, words and runs of signs, which are matches of its pattern
+or made of them: no merge crosses one. They are remembered in each worker within bounds. Strings of special tokens in a text are
 ordinary text. Null texts count as empty and have only the end id. Repeated rows appear as often.
 Empty tables give no files and an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -164,20 +165,28 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_buffer(model)
         self.tokenizer.encode_special_tokens = True
-        self.memo = Memo(self._words)
-        self.parts = Memo(self._parts, limit=150_000)
-        self.odd, self.space = re.compile("[\x1c-\x1f]"), re.compile("[\t-\r ]+")
+        self.memo = Memo(self._words, limit=500_000)
+        self.odd, self.space, self.signs = re.compile("[\x1c-\x1f]"), re.compile("[\t-\r ]+"), re.compile(r"[^\w\s]+")
         self.split = regex.compile(json.loads(model)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"[^\s", f"[^{WHITE}"))
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Words that normalising leaves as they are go by their parts; the library takes any other whole."""
-        plain = [w.isascii() or w == w.lower() and unicodedata.is_normalized("NFC", w) for w in words]
-        found = [self.split.findall(w) if p else () for w, p in zip(words, plain)]
-        known = self.parts.learn({x for f in found for x in f}).__getitem__
-        whole = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain) if not p], add_special_tokens=False))
-        return [b"".join(map(known, f)) if p else np.array(next(whole).ids, "<u4").tobytes() for f, p in zip(found, plain)]
+        """Letters that normalising leaves as they are, and runs of signs, are parts; other words are cut
+        into the pattern's matches, or, where normalising would change them, go to the library whole."""
+        split, found, whole = self.split.findall, [], []
+        for w in words:
+            if w.isascii():
+                found.append((w,) if w.isalpha() else split(w))
+            elif w != w.lower() or not unicodedata.is_normalized("NFC", w):
+                found.append(None)
+                whole.append(w)
+            else:
+                found.append((w,) if w.isalpha() else split(w))
+        parts = list({x for f in found if f for x in f})
+        known = dict(zip(parts, self._parts(parts))).__getitem__
+        rest = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False))
+        return [np.array(next(rest).ids, "<u4").tobytes() if f is None else known(f[0]) if len(f) == 1 else b"".join(map(known, f)) for f in found]
 
     def _parts(self, parts: list[str]) -> list[bytes]:
         """Parts joined by spaces come back in order, each ending with a token that ends a word."""
@@ -188,9 +197,17 @@ class WordIds:
         raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
+    def cut(self, text: str) -> list[str]:
+        """Parts that no match of the pattern crosses: words and runs of signs, or else just words."""
+        low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # A to Z only: the library lower-cases anyway
+        if self.odd.search(low):
+            return self.space.split(low)
+        if "'" in low or "_" in low or not (low.isascii() or unicodedata.is_normalized("NFC", low)):
+            return low.split()
+        return self.signs.sub(r" \g<0> ", low).split()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        low = [t.encode().lower().decode() for t in texts]  # A to Z only: the library lower-cases anyway
-        parts = [self.space.split(t) if self.odd.search(t) else t.split() for t in low]
+        parts = [self.cut(t) for t in texts]
         known = self.memo.learn(set().union(*parts)).__getitem__
         return [b"".join(map(known, p)) for p in parts]
 
@@ -221,6 +238,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, model_path: str
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # collections walk the large dictionaries again and again; nothing here makes cycles
         coder, part, number = _word_ids(sent.value), TaskContext.get().partitionId(), 0
         doc_ids, counts, held, total = [], [], [], 0
 
