@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.plans import spans, texts
+from scriptorium.plans import resolve, spans, texts
 
-_MODULES = (spans, texts)
+_MODULES = (spans, texts, resolve)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -51,3 +51,14 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(ROOT))
     sc.addPyFile(str(out))
     sc._scriptorium_shipped = True
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` computed and its lineage cut, kept in the folder that ``spark.checkpoint.dir`` names."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if base is None and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="scriptorium-"))
+    return df.checkpoint()
