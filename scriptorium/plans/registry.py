@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.plans import documents, resolve, spans, texts
+from scriptorium.plans import documents, more, resolve, spans, texts
 
-_MODULES = (spans, texts, resolve, documents)
+_MODULES = (spans, texts, resolve, documents, more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
