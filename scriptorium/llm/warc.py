@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import blobs_in, blobs_out, cut, remove, ship, text_of, work_dir
 
 ARCHIVE_BYTES = 16_000_000
+#: Revisits up to which their list goes to the archives; beyond, archives are shuffled to their lists.
+MAX_BROADCAST = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _HEADERS = "path string, number long, record_id string, row_id long, url string, date string, digest string, payload_bytes long"
@@ -163,7 +165,10 @@ def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
 def write_resolved(spark: SparkSession, source: str, resolved: DataFrame, path: str | None = None, level: int = 6) -> str:
     """New archives: the records of ``source`` with revisits where ``resolved`` says so."""
     ship(spark)
-    wanted = resolved.where("target is not null").groupBy("path").agg(F.collect_list(F.struct("number", "target.record_id", "target.row_id", "target.url", "target.date")).alias("revisits"))
+    targets = cut(resolved.where("target is not null").select("path", "number", "target.record_id", "target.row_id", "target.url", "target.date"), "warc-targets")
+    # An archive has a bounded number of records, so its list is bounded too.
+    wanted = targets.groupBy("path").agg(F.collect_list(F.struct("number", "record_id", "row_id", "url", "date")).alias("revisits"))
+    wanted = F.broadcast(wanted) if targets.count() <= MAX_BROADCAST else wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
