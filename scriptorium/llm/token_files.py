@@ -104,7 +104,7 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
 
 
 def unpack(words: np.ndarray, n: int) -> np.ndarray:
-    """``n`` values of one block's words."""
+    """``n`` values of the words of one block, or of neighbouring blocks."""
     words = words.astype(np.uint64)
     selector = (words >> np.uint64(60)).astype(np.int64)
     raw = np.zeros(len(words), bool)
@@ -120,9 +120,9 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
         if s == 0:
             out[first[w]] = words[head[w] + 1]
             continue
-        shift = (np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64)
-        got = (words[head[w]][:, None] >> shift) & np.uint64((1 << int(BITS[s])) - 1)
-        out[first[w][:, None] + np.arange(COUNTS[s])] = got
+        at, some, mask = first[w], words[head[w]], np.uint64((1 << int(BITS[s])) - 1)
+        for k in range(int(COUNTS[s])):
+            out[at + k] = (some >> np.uint64(k * int(BITS[s]))) & mask
     return out[:n]
 
 
@@ -153,8 +153,11 @@ def read_file(data: bytes, blocks: range | None = None) -> tuple[int, list[int |
     counts = np.frombuffer(data, "<u8", docs, at := at + docs)
     index = np.frombuffer(data, "<u8", n_blocks + 1, at := at + 8 * docs).astype(np.int64)
     words = np.frombuffer(data, "<u8", n_words, at := at + 8 * (n_blocks + 1))
-    out = [unpack(words[index[i] : index[i + 1]], min(BLOCK, ids - i * BLOCK)) for i in (blocks or range(n_blocks))]
-    return order, [int(d) if t else None for d, t in zip(doc_ids, there)], counts.astype(np.int64), np.concatenate(out) if out else np.zeros(0, np.uint64)
+    if blocks is None:
+        got = unpack(words, ids)
+    else:
+        got = np.concatenate([np.zeros(0, np.uint64), *(unpack(words[index[i] : index[i + 1]], min(BLOCK, ids - i * BLOCK)) for i in blocks)])
+    return order, [int(d) if t else None for d, t in zip(doc_ids, there)], counts.astype(np.int64), got
 
 
 class WordIds:
@@ -165,7 +168,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_buffer(model)
         self.tokenizer.encode_special_tokens = True
-        self.memo = Memo(self._words, limit=500_000)
+        self.memo = Memo(self._words, limit=800_000)
         self.odd, self.space, self.signs = re.compile("[\x1c-\x1f]"), re.compile("[\t-\r ]+"), re.compile(r"[^\w\s]+")
         self.split = regex.compile(json.loads(model)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"[^\s", f"[^{WHITE}"))
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
