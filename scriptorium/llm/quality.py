@@ -9,7 +9,7 @@ estimate from a first fit with prior 1/2).
 
 Features are of the whole text: shares of pairs of neighbouring byte classes, and shares that tell of
 repetition (distinct words, the most frequent word, equal neighbours, distinct runs of three words,
-distinct lines), lengths of words and lines and of the text, and how it compresses in a block. Source,
+distinct lines), lengths of words and lines and of the text, and how all of it compresses, block by block. Source,
 language, identifier and labels are never features.
 
 The fit takes at most ``MAX_POSITIVE`` positives and ``MAX_UNLABELLED`` rows, those with the smallest
@@ -36,6 +36,7 @@ from .common import ship, text_of
 
 MAX_POSITIVE = 6_000
 MAX_UNLABELLED = 8_000
+BLOCK = 4096
 
 _CLASSES = ["\t\r\x0b\x0c ", "\n", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "0123456789", ".", ",;:", "!?", "\"'()[]", "-_/", "|", "$%&#*@+=~^", "<>{}\\`"]
 _OTHER = len(_CLASSES)  # control characters and bytes of other characters
@@ -74,8 +75,7 @@ def features(text: str) -> np.ndarray:
     if lines:
         rest[11] = len(set(lines)) / len(lines)
         rest[12] = min(1.0, len(text) / len(lines) / 500)
-        block = raw[len(raw) // 2 : len(raw) // 2 + 4096] if len(raw) > 8192 else raw[:4096]
-        rest[13] = len(zlib.compress(block, 1)) / len(block)
+        rest[13] = sum(len(zlib.compress(raw[lo : lo + BLOCK], 1)) for lo in range(0, len(raw), BLOCK)) / len(raw)
     return out
 
 

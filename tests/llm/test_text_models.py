@@ -80,3 +80,15 @@ def test_toxicity_on_held_out_rows_also_disguised(spark):
     assert auc([got[i].score for i, _ in test], [y for _, y in test]) > 0.98
     assert all(got[100_000 + i].predicted == 1 for i in range(5))
     assert got[90_001].predicted == got[90_002].predicted == 0
+
+
+def test_compression_is_of_the_whole_text():
+    rnd = random.Random(5)
+    varied = lambda n: "".join(rnd.choices("abcdefghijklmnop qrstuvwxyz", k=n))
+    same = "spam spam " * 600
+    last = lambda t: quality.features(t)[-1]
+    for size in (5_000, 12_000):
+        plain = varied(size)
+        assert last(plain + same) < 0.8 * last(plain)
+        assert last(same + plain) < 0.8 * last(plain)
+        assert last(same[:size] + plain + same) < 0.8 * last(plain)
