@@ -31,3 +31,23 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert 100 in kept["exact_dedup"] and 7 not in kept["exact_dedup"]
     assert 101 in kept["near_dedup"] and 101 not in kept["decontaminate"]
     assert {r.doc_id for r in pipeline.run(spark, d).select("doc_id").collect()} == kept["decontaminate"]
+
+
+def test_rows_without_identifiers_are_told_by_their_texts(spark, tmp_path):
+    rnd = random.Random(4)
+    prose = lambda: " ".join("".join(rnd.choices(["ther", "and", "ing", "ea"], k=2)) for _ in range(60)) + "."
+    junk = lambda: " ".join("x$$$ y###" for _ in range(rnd.randint(50, 70)))
+    good, bad = [prose() for _ in range(60)], [junk() for _ in range(30)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(good + bad)]
+    rows += [(None, prose(), "en", "new", 0) for _ in range(5)] + [(None, junk(), "en", "junk", 0) for _ in range(5)]
+    rows += [(900, prose(), "en", "new", 0), (900, prose(), "en", "new", 0), (900, junk(), "en", "junk", 0)]
+    rows += [(None, good[0], "en", "copy", 0), (900, good[1], "en", "copy", 0), (900, good[1], "en", "copy", 0)]
+    d = str(tmp_path)
+    spark.createDataFrame([(i, int(i < 60), 0) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4).cache()
+    accepted = pipeline.quality(spark, docs, d).cache()
+    of = lambda df, source: [r.text for r in df.where(f"source = '{source}'").collect()]
+    assert len(of(accepted, "new")) == 7 and not of(accepted, "junk")
+    left = pipeline.exact(spark, accepted, d).cache()
+    assert len(of(left, "new")) == 7 and of(left, "copy") == [good[1]]
+    assert len(of(pipeline.near(spark, left, d), "new")) == 7
