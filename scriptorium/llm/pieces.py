@@ -6,6 +6,10 @@ import os
 from collections.abc import Callable, Iterable, Iterator
 from typing import Generic, TypeVar
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 V = TypeVar("V")
@@ -55,3 +59,31 @@ def slices(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]
             start, held = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def byte_slices(texts: pa.Array, size: int = 8_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of ``texts`` of about ``size`` bytes each, one text at least."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def gathered(each: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words that ``codes`` name in order, and where each word's end (0 before all); ``each`` has ids as little-endian 32-bit integers."""
+    size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+    table = np.frombuffer(b"".join(each), "<u4")
+    n = size[codes]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    shift = (np.cumsum(size) - size)[codes] - ends[:-1]
+    return ends, table[np.arange(ends[-1]) + np.repeat(shift, n)] if len(table) else table
+
+
+def by_word(words: pa.Array, learn: Callable[[set[str]], dict[str, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """``gathered`` for words, of which ``learn`` is asked each distinct one."""
+    coded = words.dictionary_encode()
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    known = learn(set(distinct))
+    return gathered(list(map(known.__getitem__, distinct)), coded.indices.to_numpy())

@@ -17,33 +17,35 @@ as many ids of one width as the selector says, the first in the lowest bits; wor
 Selector 0 is the escape: the id, which is wider than 60
 bits, is the next word as it is. Decoding treats all words with the same selector at once.
 
-The library encodes distinct parts of texts, words and runs of signs, which are matches of its pattern
-or made of them: no merge crosses one. They are remembered in each worker within bounds. Strings of special tokens in a text are
-ordinary text. Null texts count as empty and have only the end id. Repeated rows appear as often.
+The library encodes the distinct words of a batch, found by Arrow, and those are remembered in each
+worker within bounds; ids of texts are gathered from them. Strings of special tokens in a text are
+ordinary text. A text of any length is one document; a text without white space is one word, which
+the library sees whole. Null texts count as empty and have only the end id. Repeated rows appear as often.
 Empty tables give no files and an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import re
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .byte_bpe import byte_chars
 from .common import blobs_in, blobs_out, cut, remove, ship, text_of, work_dir
-from .pieces import WHITE, Memo, slices
+from .pieces import Memo, by_word, byte_slices
 
 MAGIC = b"S8BTOK01"
 BLOCK = 4096
@@ -161,58 +163,50 @@ def read_file(data: bytes, blocks: range | None = None) -> tuple[int, list[int |
 
 
 class WordIds:
-    """Ids of texts by the ``tokenizers`` library, word by word."""
+    """Ids of texts by the ``tokenizers`` library, distinct words only once.
+
+    Words are what ASCII white space parts, and runs of ``.,;:!?`` after a letter or digit are words of
+    their own: the pattern's matches end there, and neither normalising nor lower-casing goes across.
+    Letters are limited to those that stay one letter through both (U+0130 does not).
+    """
 
     def __init__(self, model: bytes) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(model)
         self.tokenizer.encode_special_tokens = True
-        self.memo = Memo(self._words, limit=800_000)
-        self.odd, self.space, self.signs = re.compile("[\x1c-\x1f]"), re.compile("[\t-\r ]+"), re.compile(r"[^\w\s]+")
-        self.split = regex.compile(json.loads(model)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"[^\s", f"[^{WHITE}"))
+        spec = json.loads(model)
+        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        # The same model for matches of the pattern that are normalised, in the library's byte characters.
+        self.bare = Tokenizer.from_str(json.dumps({**spec, "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+        chars = byte_chars()
+        self.shown = {ord(c): "".join(chars[x] for x in c.encode()) for c in map(chr, [0xDF, *range(0xE0, 0xF7), *range(0xF8, 0x100)])}
+        self.memo = Memo(self._words, limit=600_000)
+        self.plain = re.compile("[a-zß-öø-ÿ]+|[.,;:!?]+").fullmatch  # one match of the pattern, and normalised
+        self.signs = re.compile("[!-@[-~]+").fullmatch
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Letters that normalising leaves as they are, and runs of signs, are parts; other words are cut
-        into the pattern's matches, or, where normalising would change them, go to the library whole."""
-        split, found, whole = self.split.findall, [], []
-        for w in words:
-            if w.isascii():
-                found.append((w,) if w.isalpha() else split(w))
-            elif w != w.lower() or not unicodedata.is_normalized("NFC", w):
-                found.append(None)
-                whole.append(w)
-            else:
-                found.append((w,) if w.isalpha() else split(w))
-        parts = list({x for f in found if f for x in f})
-        known = dict(zip(parts, self._parts(parts))).__getitem__
-        rest = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False))
-        return [np.array(next(rest).ids, "<u4").tobytes() if f is None else known(f[0]) if len(f) == 1 else b"".join(map(known, f)) for f in found]
-
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        """Parts joined by spaces come back in order, each ending with a token that ends a word."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(parts):
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-        raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def cut(self, text: str) -> list[str]:
-        """Parts that no match of the pattern crosses: words and runs of signs, or else just words."""
-        low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # A to Z only: the library lower-cases anyway
-        if self.odd.search(low):
-            return self.space.split(low)
-        if "'" in low or "_" in low or not (low.isascii() or unicodedata.is_normalized("NFC", low)):
-            return low.split()
-        return self.signs.sub(r" \g<0> ", low).split()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.cut(t) for t in texts]
-        known = self.memo.learn(set().union(*parts)).__getitem__
-        return [b"".join(map(known, p)) for p in parts]
+        """Matches joined by spaces come back in order, each ending with a token that ends a word; words
+        that normalising may change go to the library one by one."""
+        found = [(w,) if self.plain(w) else self.split(w) if self.signs(w) else () for w in words]
+        matches = list(chain.from_iterable(found))
+        ids = np.array(self.bare.encode_batch_fast([" ".join(matches).translate(self.shown)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
+        if len(ends) != len(matches) + 1:
+            raise ValueError("a token of the vocabulary ends a word within it")
+        raw, cuts = ids.tobytes(), [0, *(4 * ends[np.cumsum([len(f) for f in found], dtype=np.int64)]).tolist()]
+        rest = iter(self.tokenizer.encode_batch_fast([w for w, f in zip(words, found) if not f], add_special_tokens=False))
+        return [raw[a:b] if f else np.array(next(rest).ids, "<u4").tobytes() for f, a, b in zip(found, cuts, cuts[1:])]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text has, and the ids of all texts."""
+        low = pc.if_else(pc.match_substring(texts, "\u0307"), texts, pc.ascii_lower(texts))  # I and a dot above are one character to the library
+        low = pc.replace_substring_regex(low, "([0-9A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?]+)", r"\1 \2")
+        words = pc.ascii_split_whitespace(low)
+        ends, ids = by_word(words.flatten(), self.memo.learn)
+        return np.diff(ends[words.offsets.to_numpy() - words.offsets[0].as_py()]), ids
 
 
 _made: dict[bytes, WordIds] = {}
@@ -226,6 +220,10 @@ def _word_ids(model: bytes) -> WordIds:
     return _made[key]
 
 
+def _file(order: int, doc_ids: list[int | None], counts: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([pack_file(order, doc_ids, counts, np.concatenate(held))], pa.binary())], ["blob"])
+
+
 def write_token_files(docs: DataFrame, path: str | None = None, model_path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", ids_a_file: int = 4_000_000) -> str:
     """Tokenize every text, append ``end_id``, and write the files to a folder, whose path is returned.
 
@@ -238,31 +236,30 @@ def write_token_files(docs: DataFrame, path: str | None = None, model_path: str
     if len(model) > MAX_VOCABULARY_BYTES:
         raise ValueError(f"a vocabulary of {len(model)} bytes is too large to broadcast")
     sent = spark.sparkContext.broadcast(model)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # collections walk the large dictionaries again and again; nothing here makes cycles
         coder, part, number = _word_ids(sent.value), TaskContext.get().partitionId(), 0
         doc_ids, counts, held, total = [], [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            blob = pack_file(part << 32 | number, doc_ids, counts, np.frombuffer(b"".join(held), "<u4"))
-            return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["blob"])
-
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in slices(texts):
-                for k, x in zip(keys[lo:hi], coder.encode(texts[lo:hi])):
-                    doc_ids.append(k)
-                    counts.append(len(x) // 4 + 1)
-                    held += [x, end]
-                    total += counts[-1]
+            keys = b.column(0).to_pylist()
+            for lo, hi in byte_slices(b.column(1)):
+                n, ids = coder.encode(b.column(1).slice(lo, hi - lo))
+                ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+                ends = np.cumsum(n)
+                first = used = 0  # documents and ids of this slice that are in files
+                while first < len(n):
+                    last = min(int(np.searchsorted(ends, used + ids_a_file - total)) + 1, len(n))
+                    doc_ids += keys[lo + first : lo + last]
+                    counts += n[first:last].tolist()
+                    held.append(ids[used : ends[last - 1]])
+                    total += int(ends[last - 1]) - used
+                    first, used = last, int(ends[last - 1])
                     if total >= ids_a_file:
-                        yield flush()
+                        yield _file(part << 32 | number, doc_ids, counts, held)
                         number += 1
                         doc_ids, counts, held, total = [], [], [], 0
         if doc_ids:
-            yield flush()
+            yield _file(part << 32 | number, doc_ids, counts, held)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     tasks = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -290,9 +287,12 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = False) -> DataF
     names = ["file", "doc_id", "within", "n_tokens", "ids_crc32", *["ids"] * ids]
     schema = "file long, doc_id long, within long, n_tokens long, ids_crc32 long" + ", ids binary" * ids
     found = cut(blobs_in(spark, path).select("content").mapInArrow(run, schema), "token-index")
-    # One row a file of millions of ids: small enough for one task at any size of input.
-    files = found.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return found.join(files.select("file", "before"), "file").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * ids)
+    # A running sum over the files of each writing task, and one over the tasks, whose number is set, not grown.
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = found.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("task", F.shiftright("file", 32))
+    tasks = files.groupBy("task").agg(F.sum("n").alias("n")).withColumn("earlier", before(Window.orderBy("task"))).drop("n")
+    files = files.withColumn("before", before(Window.partitionBy("task").orderBy("file"))).join(tasks, "task")
+    return found.join(files.select("file", (F.col("earlier") + F.col("before")).alias("before")), "file").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * ids)
 
 
 def token_files(docs: DataFrame, **options) -> DataFrame:

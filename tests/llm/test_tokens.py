@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer, models
@@ -89,6 +90,34 @@ def test_token_files_against_the_library(spark):
     assert token_files.token_files(df.limit(0)).collect() == []
 
 
+def test_ids_of_any_character_and_of_signs_after_it():
+    with open(P.path("word_bpe_49k.json"), "rb") as f:
+        model = f.read()
+    ours, lib = token_files.WordIds(model), Tokenizer.from_buffer(model)
+    lib.encode_special_tokens = True
+    shapes = ("{}", "a{}.", "{}.b", "I{}!", "x. {}?y")
+    texts = [f.format(chr(c)) for c in range(1, 0x3000) for f in shapes]
+    texts += odd_texts(5000, "aaIİbé.,;:!?' \n\t\x1c\x85\xa0ßΣσ漢😀st12_-̧̇AÉK\0<|>")
+    n, ids = ours.encode(pa.array(texts))
+    assert len(ids) == n.sum()
+    for t, e, want in zip(texts, np.split(ids, np.cumsum(n)[:-1]), lib.encode_batch_fast(texts, add_special_tokens=False)):
+        assert e.tolist() == want.ids, t
+
+
+def test_long_texts_and_files_of_any_size(spark):
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rows = [(3, "ab" * 300_000), (1, "a b. " * 100_000), (2, None), (2, "x"), (None, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS file", "2 AS n_tokens", "3 AS within")
+    for size in (1, 1000, 4_000_000):
+        got = token_files.token_files(df, ids_a_file=size).orderBy("start").collect()
+        assert [r.doc_id for r in got] == [None, 1, 2, 2, 3]
+        start = 0
+        for r, x in zip(got, ["y", rows[1][1], "", "x", rows[0][1]]):
+            want = np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4")
+            assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(want), zlib.crc32(want.tobytes()))
+            start += len(want)
+
+
 def test_unigram_counts_against_the_library(spark):
     with open(P.path("piece_bpe_32k.model"), "rb") as f:
         vocabulary = unigram_counts.read_model(f.read())
