@@ -1,26 +1,37 @@
 """Main text of web pages by wrapper induction over pages of one host.
 
-1. Every page is parsed into a tree of its block elements. A node keeps its tag and class, a hash of
-   the text that stands directly in it, and what its tags and names say: inside an article, or inside a
-   menu, header, footer, sidebar, notice, advert, form or comment section. Only these skeletons move on.
-2. Each host gets a reference page, that with the smallest hash of its identifier, found with an
-   aggregation that combines before the shuffle. Every other page of the host is aligned with it by
-   simple tree matching (equal roots; children matched in order for the most matched nodes; among
-   equals, for equal text). The aligned pages of all tasks are counted for each node of the reference.
-   A page whose text is mostly that of the reference says nothing about the template and is not
-   counted, so copies of an article don't make it template.
-3. A node with the same text on ``constant`` of the counted pages (``least`` of them at least) is
-   template; varying nodes are slots. Text of template nodes goes, as does that of marked regions. In a
-   marked article, prose elements are slots in any case. Pages without a marked article keep their other
-   slots, but for those whose text is mostly links.
-
-Skeletons are joined to references by host; a hot host is a skewed join that Spark splits at run time,
-and a host's reference is one row. Only lists of template nodes go back to the pages.
+1. Every page is parsed once into a tree of its block elements and the text blocks in them. A node keeps
+   its tag and class, a hash of the text that stands directly in it, its characters, those of them in
+   links, and what its tag and names say of it. Trees and blocks go to the shared folder.
+2. The pages of a host are told apart by layout, a hash of the elements down to a small depth, and each
+   of a host's ``layouts`` commonest layouts gets a reference page, that with the smallest hash (pages
+   without text are no reference). Every page is aligned by simple tree matching (equal roots; children
+   matched in order for the most matched nodes; among equals, for equal text) with the reference of its
+   own layout, or else with that of its host's which it matches best. Counts over all aligned pages are
+   kept for each node of a reference: pages that have text there, pages that have the same text there,
+   characters, characters in links. A page whose text is mostly that of the reference says nothing about
+   what is constant and is left out of those two counts, so copies of an article don't make it template.
+3. The wrapper of a reference follows from the counts. Nodes with the same text on ``constant`` of at least
+   ``least`` pages are template; nodes whose text is mostly links, and lists of such, are navigation; what
+   varies is slots. The main region is the smallest element that holds ``share`` of the characters of all
+   slots. Elements that say they are the article or the main part are the region instead if most of the
+   slots' characters are in them, or if there are fewer than ``least`` pages to learn from; in them a
+   prose element is template only if it is the same on nearly all of many pages.
+4. A page's text is that of its nodes that match slots in the region, and of its nodes without a match
+   that lie under a matched element of the region; headings of the first rank that vary stay wherever they
+   stand. What tags and names call a menu, header, footer, sidebar, notice, advert, form or comment section
+   is left out (``names=False`` leaves these names aside, and everything to the wrapper).
+
+Wrappers and references are a few per host. They are broadcast where their bytes are at most
+``max_broadcast``; beyond, pages and wrappers are joined by host and salt, and a host has as many salts
+(copies of its wrappers) as it has thousands of pages, so a hot host is spread evenly.
 
 Text: character references decoded, white space inside a block (``br`` too) one space, trimmed, blocks
 joined by a newline in page order. A null page is empty and has the text "". Rows that repeat an
-identifier each keep their own text where their pages differ. Null addresses count as one host. Empty
-tables give empty results; other columns are not read.
+identifier each keep their own text. Null addresses count as one host. Pages of any length and depth are
+parsed in one pass; a tag that the page ends in is dropped with what follows it, as browsers do. Aligning
+takes time with the product of two elements' numbers of children, less those equal at both ends. Ties in
+layouts go by their hash. Empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,12 +45,13 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ship, text_of
+from .common import cut, remove, ship, text_of
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*>""", re.S)
+#: A comment, a tag, or another declaration, each up to the end of the page if nothing ends it.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|(?!["'])))*+)(?:>|\Z)|<[!/?][^>]*+(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']+)))?""")
 _SPACE = re.compile(r"\s+")
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -66,6 +78,13 @@ OUT_NAMES = frozenset(
     "newsletter notice notices notification overlay pager pagination paywall popup promo promotion promoted recommended related replies reply "
     "respond search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split()
 )
+#: Bits of a node: what its tag and names say, and whether it is a heading of the first rank or prose.
+OUT, MAIN, TITLE, IS_PROSE = 1, 2, 4, 8
+#: Bits of a wrapper's node: its own text stays, what is under it may stay, it is in a marked article, its text is template.
+KEEP, INSIDE, MARKED, TEMPLATE = 1, 2, 4, 8
+LAYOUT_DEPTH = 4
+SALT_PAGES = 1000
+MAX_HOT = 200_000
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -108,6 +127,7 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("#", 0)]
+        opened: Counter = Counter()  # tags in the stack
         text: list[str] = []
         links = linked = 0  # whether a link is open; characters in links
         at, skip = 0, -1
@@ -121,6 +141,10 @@ class Page:
                 text.clear()
                 linked = 0
 
+        def cut_off(k: int) -> None:
+            opened.subtract([x[0] for x in stack[k:]])
+            del stack[k:]
+
         for m in _TOKEN.finditer(source):
             start = m.start()
             if start < skip:
@@ -145,18 +169,17 @@ class Page:
                     close()
                     if tag in ENDS:
                         ended, holders = ENDS[tag]
-                        for k in range(len(stack) - 1, 0, -1):
+                        for k in range(len(stack) - 1, 0, -1) if any(opened[x] for x in ended) else ():
                             if stack[k][0] in ended:
-                                del stack[k:]
+                                cut_off(k)
                             elif stack[k][0] in holders:
                                 break
                     if any(x[0] == "p" for x in stack[-2:]):  # a block ends an open paragraph
-                        while stack[-1][0] != "p":
-                            stack.pop()
-                        stack.pop()
+                        cut_off(len(stack) - (1 if stack[-1][0] == "p" else 2))
                     node = self._add(tag, m[3], stack[-1][1])
                     if tag not in VOID:
                         stack.append((tag, node))
+                        opened[tag] += 1
                 elif tag == "br":
                     text.append(" ")
                 elif tag == "a":
@@ -164,6 +187,7 @@ class Page:
                 elif tag == "button":
                     close()
                     stack.append((tag, self._add(tag, m[3], stack[-1][1])))
+                    opened[tag] += 1
                 elif tag in ("span", "ins", "label") and m[3] and not m[3].isspace():
                     # an inline element with a banned name is a region of its own
                     probe = self._add(tag, m[3], stack[-1][1])
@@ -176,54 +200,50 @@ class Page:
                             text.append(block)
                             close()
                         stack.append((tag, probe))
+                        opened[tag] += 1
                     else:
                         for part in (self.tags, self.keys, self.parents, self.out, self.main):
                             part.pop()
             elif tag == "a":
                 links = 0
             elif tag in BLOCKS or tag in ("button", "span", "ins", "label"):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        close()
-                        del stack[k:]
-                        break
-                else:
-                    if tag in BLOCKS:
-                        close()
+                if opened[tag]:
+                    close()
+                    cut_off(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
+                elif tag in BLOCKS:
+                    close()
         rest = max(at, skip)
         if rest < len(source):
             text.append(source[rest:])
         close()
 
+    def layout(self) -> int:
+        """A hash of the elements near the root, prose aside, a run of equal ones counting once."""
+        depth, h, last = [0], 0, None
+        for i in range(1, len(self.tags)):
+            depth.append(depth[self.parents[i]] + 1)
+            here = depth[i], self.keys[i]
+            if depth[i] <= LAYOUT_DEPTH and self.tags[i] not in PROSE and here != last:
+                h, last = zlib.crc32(b"%d %d" % here, h), here
+        return h
+
     def skeleton(self) -> bytes:
-        """Parent, key, text hash and characters of each node, as int32 columns."""
+        """Parent, key, text hash, characters, characters in links and bits of each node, as int32 columns."""
         n = len(self.tags)
-        h, chars = [0] * n, [0] * n
-        for node, block, _ in self.blocks:
+        h, chars, linked = [0] * n, [0] * n, [0] * n
+        for node, block, links in self.blocks:
             h[node] = zlib.crc32(block.encode("utf-8", "surrogatepass"), h[node])
             chars[node] += len(block)
-        return np.array([self.parents, np.array(self.keys, np.uint32).view(np.int32), np.array(h, np.uint32).view(np.int32), chars], "<i4").tobytes()
-
-    def text(self, template: set[int] = frozenset()) -> str:
-        """The main text; ``template`` has nodes whose text is known to be the host's."""
-        article = any(self.main[n] and not self.out[n] for n, _, _ in self.blocks)
-        out = []
-        for n, block, linked in self.blocks:
-            if self.out[n] or article and not self.main[n]:
-                continue
-            if n in template and not (article and self.tags[n] in PROSE):
-                continue
-            if not article and linked > 0.75 * len(block):
-                continue
-            out.append(block)
-        return "\n".join(out)
+            linked[node] += links
+        bits = [OUT * o | MAIN * m | TITLE * (t == "h1") | IS_PROSE * (t in PROSE) for t, o, m in zip(self.tags, self.out, self.main)]
+        return np.array([self.parents, np.array(self.keys, np.uint32).view(np.int32), np.array(h, np.uint32).view(np.int32), chars, linked, bits], "<i4").tobytes()
 
 
 class Tree:
     """A skeleton made ready for matching. Equal subtrees, text aside, have equal shapes."""
 
     def __init__(self, data: bytes, shapes: dict) -> None:
-        self.parent, self.key, self.hash, self.chars = np.frombuffer(data, "<i4").reshape(4, -1)
+        self.parent, self.key, self.hash, self.chars, self.linked, self.bits = np.frombuffer(data, "<i4").reshape(6, -1)
         kids: list[list[int]] = [[] for _ in self.parent]
         for i, p in enumerate(self.parent.tolist()):
             if p >= 0:
@@ -243,29 +263,58 @@ class Matcher:
     def __init__(self) -> None:
         self.shapes: dict = {}
         self.parts: list = []
+        self.sizes: list[float] = []
         self.values: dict[tuple[int, int], float] = {}
 
+    def full(self) -> bool:
+        return len(self.shapes) > 50_000 or len(self.values) > 500_000
+
     def tree(self, data: bytes) -> Tree:
         t = Tree(data, self.shapes)
-        if len(self.parts) < len(self.shapes):
-            self.parts = list(self.shapes)
+        for part in list(self.shapes)[len(self.parts) :] if len(self.parts) < len(self.shapes) else ():
+            self.parts.append(part)
+            self.sizes.append(1.0 + sum([self.sizes[k] for k in part[1]]))
         return t
 
+    def _known(self, a: int, b: int) -> float | None:
+        """The value of two shapes where it needs no search."""
+        if a == b:
+            return self.sizes[a]
+        (ka, ca), (kb, cb) = self.parts[a], self.parts[b]
+        return 0.0 if ka != kb else 1.0 if not ca or not cb else self.values.get((a, b))
+
     def value(self, a: int, b: int) -> float:
-        """Nodes that the best matching of two shapes has."""
-        key = (a, b)
-        v = self.values.get(key)
-        if v is None:
-            (ka, ca), (kb, cb) = self.parts[a], self.parts[b]
-            v = 0.0 if ka != kb else 1.0 + (float(_last_row(self._pairs(ca, cb))[-1]) if ca and cb else 0.0)
-            self.values[key] = v
-        return v
-
-    def _pairs(self, a, b) -> np.ndarray:
-        ua, ia = np.unique(np.array(a), return_inverse=True)
-        ub, ib = np.unique(np.array(b), return_inverse=True)
-        table = np.array([[self.value(x, y) for y in ub.tolist()] for x in ua.tolist()])
-        return table[ia[:, None], ib]
+        """Nodes that the best matching of two shapes has; children before parents, without recursion."""
+        todo = [(a, b)]
+        while todo:
+            x, y = todo[-1]
+            if self._known(x, y) is not None:
+                todo.pop()
+                continue
+            ca, cb = self.parts[x][1], self.parts[y][1]
+            first, last = _equal_ends(ca, cb)
+            same = sum([self.sizes[k] for k in ca[:first]]) + sum([self.sizes[k] for k in ca[len(ca) - last :]])
+            ca, cb = ca[first : len(ca) - last], cb[first : len(cb) - last]
+            missing = [(i, j) for i in set(ca) for j in set(cb) if self._known(i, j) is None]
+            if missing:
+                todo += missing
+                continue
+            best = _row(self._block(ca, cb), 0, len(ca), 0, len(cb))[-1] if ca and cb else 0.0
+            self.values[x, y] = 1.0 + same + float(best)
+            todo.pop()
+        return self._known(a, b)
+
+    def _block(self, ca, cb, ha: np.ndarray | None = None, hb: np.ndarray | None = None):
+        """Rows and columns of the children's values, made as they are asked for; equal text (``ha``, ``hb``) settles ties."""
+        ua, ia = np.unique(np.array(ca), return_inverse=True)
+        ub, ib = np.unique(np.array(cb), return_inverse=True)
+        table = np.array([[self._known(x, y) if self._known(x, y) is not None else self.value(x, y) for y in ub.tolist()] for x in ua.tolist()])
+
+        def block(i: slice, j: slice) -> np.ndarray:
+            w = table[ia[i, None], ib[j]]
+            return w if ha is None else w + 0.001 * ((w > 0) & (ha[i, None] == hb[j]))
+
+        return block
 
     def match(self, a: Tree, b: Tree) -> list[int]:
         """Of each node of ``a`` the node of ``b`` matched with it, or -1."""
@@ -277,34 +326,52 @@ class Matcher:
             ca, cb = a.kids[x], b.kids[y]
             if not ca or not cb:
                 continue
-            if len(ca) == 1 and len(cb) == 1:
-                pairs = [(0, 0)]
-            else:
-                w = self._pairs([a.shape[i] for i in ca], [b.shape[j] for j in cb])
-                same = a.hash[ca][:, None] == b.hash[cb]
-                pairs = _alignment(np.where(w > 0, w + 0.001 * same, 0.0))
-            for i, j in pairs:
-                if a.key[ca[i]] == b.key[cb[j]]:
-                    todo.append((ca[i], cb[j]))
+            sa, sb = ([(t.shape[k], t.hash[k]) for k in c] for t, c in ((a, ca), (b, cb)))
+            first, last = _equal_ends(sa, sb)
+            todo += zip(ca[:first], cb[:first])
+            todo += zip(ca[len(ca) - last :], cb[len(cb) - last :])
+            ca, cb = ca[first : len(ca) - last], cb[first : len(cb) - last]
+            if ca and cb:
+                block = self._block([a.shape[i] for i in ca], [b.shape[j] for j in cb], a.hash[ca], b.hash[cb])
+                todo += [(ca[i], cb[j]) for i, j in _alignment(block, 0, len(ca), 0, len(cb)) if a.key[ca[i]] == b.key[cb[j]]]
         return out
 
 
-def _last_row(w: np.ndarray) -> np.ndarray:
-    """Best values of aligning all rows of ``w`` with each prefix of its columns."""
-    m = np.zeros(w.shape[1] + 1)
-    for r in w:
-        m[1:] = np.maximum(m[1:], m[:-1] + r)
-        np.maximum.accumulate(m, out=m)
+def _equal_ends(a, b) -> tuple[int, int]:
+    """How many elements are equal at the beginning, and how many of the rest at the end."""
+    n = min(len(a), len(b))
+    first = 0
+    while first < n and a[first] == b[first]:
+        first += 1
+    last = 0
+    while last < n - first and a[-1 - last] == b[-1 - last]:
+        last += 1
+    return first, last
+
+
+def _row(block, i0: int, i1: int, j0: int, j1: int, cells: int = 1_000_000, back: bool = False) -> np.ndarray:
+    """Best values of aligning the rows with each prefix of the columns (each suffix, if ``back``)."""
+    m = np.zeros(j1 - j0 + 1)
+    step = max(1, cells // (j1 - j0 + 1))
+    for lo in range(i0, i1, step) if not back else range(i1 - 1, i0 - 1, -step):
+        part = slice(lo, min(i1, lo + step)) if not back else slice(max(i0, lo - step + 1), lo + 1)
+        w = block(part, slice(j0, j1))
+        for r in w[::-1, ::-1] if back else w:
+            m[1:] = np.maximum(m[1:], m[:-1] + r)
+            np.maximum.accumulate(m, out=m)
     return m
 
 
-def _alignment(w: np.ndarray, cells: int = 1_000_000) -> list[tuple[int, int]]:
-    """Pairs, in order, with the largest sum; memory is bounded by halving the rows (Hirschberg)."""
-    n, k = w.shape
+def _alignment(block, i0: int, i1: int, j0: int, j1: int, cells: int = 1_000_000) -> list[tuple[int, int]]:
+    """Pairs of rows and columns, in order, with the largest sum; memory is bounded by halving the rows (Hirschberg)."""
+    n, k = i1 - i0, j1 - j0
+    if not n or not k:
+        return []
     if n > 1 and n * k > cells:
-        half = n // 2
-        split = int(np.argmax(_last_row(w[:half]) + _last_row(w[half:][::-1, ::-1])[::-1]))
-        return _alignment(w[:half, :split], cells) + [(i + half, j + split) for i, j in _alignment(w[half:, split:], cells)]
+        half = i0 + n // 2
+        split = j0 + int(np.argmax(_row(block, i0, half, j0, j1, cells) + _row(block, half, i1, j0, j1, cells, True)[::-1]))
+        return _alignment(block, i0, half, j0, split, cells) + _alignment(block, half, i1, split, j1, cells)
+    w = block(slice(i0, i1), slice(j0, j1))
     m = np.zeros((n + 1, k + 1))
     for i in range(n):
         np.maximum(m[i, 1:], m[i, :-1] + w[i], out=m[i + 1, 1:])
@@ -317,7 +384,7 @@ def _alignment(w: np.ndarray, cells: int = 1_000_000) -> list[tuple[int, int]]:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            out.append((i, j))
+            out.append((i0 + i, j0 + j))
     return out[::-1]
 
 
@@ -328,88 +395,206 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def skeletons(pages: DataFrame) -> DataFrame:
-    """``page_id, host, nodes`` from ``page_id, url, html``."""
+def parsed(pages: DataFrame) -> DataFrame:
+    """``page_id, url, host, layout, chars, nodes, at, texts, links`` of each page; ``at`` has the node of each text block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, urls, sources = b.columns
-            for lo in range(0, b.num_rows, 500):
-                part = sources.slice(lo, 500).to_pylist()
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, 500), pa.array([host_of(u) for u in urls.slice(lo, 500).to_pylist()]), pa.array([Page(s).skeleton() for s in part], pa.binary())], ["page_id", "host", "nodes"])
-
-    return pages.mapInArrow(run, "page_id long, host string, nodes binary")
+            for lo in range(0, b.num_rows, 200):
+                ids, urls, sources = (c.slice(lo, 200) for c in b.columns)
+                made = [Page(x) for x in sources.to_pylist()]
+                blocks = [p.blocks for p in made]
+                cols = [
+                    pa.array([host_of(u) for u in urls.to_pylist()], pa.string()),
+                    pa.array([p.layout() for p in made], pa.int64()),
+                    pa.array([sum([len(t) for _, t, _ in x]) for x in blocks], pa.int64()),
+                    pa.array([p.skeleton() for p in made], pa.binary()),
+                    *(pa.array([[y[i] for y in x] for x in blocks], pa.list_(t)) for i, t in enumerate((pa.int32(), pa.string(), pa.int32()))),
+                ]
+                yield pa.RecordBatch.from_arrays([ids, urls, *cols], names)
+
+    names = ["page_id", "url", "host", "layout", "chars", "nodes", "at", "texts", "links"]
+    return pages.mapInArrow(run, "page_id long, url string, host string, layout long, chars long, nodes binary, at array<int>, texts array<string>, links array<int>")
+
+
+class _Aligner:
+    """Aligns pages with the references that they are given, which it remembers for a while."""
 
+    def __init__(self) -> None:
+        self.matcher, self.made = Matcher(), {}
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``page_id, host, matched, counted, same``: nodes of the reference for a page's nodes; whether its text differs enough; nodes of the reference with equal text."""
-    made = Matcher()
-    refs: dict[str, tuple[bytes, Tree]] = {}
-    for b in batches:
-        if len(made.shapes) > 50_000 or len(refs) > 2_000:
-            made, refs = Matcher(), {}
-        out = []
-        for page_id, host, nodes, ref in zip(*(c.to_pylist() for c in b.columns)):
-            known = refs.get(host)
-            if known is None or known[0] != ref:
-                known = refs[host] = (ref, made.tree(ref))
-            r, p = known[1], made.tree(nodes)
-            to = np.array(made.match(p, r), np.int32)
-            has = np.flatnonzero((to >= 0) & (p.chars > 0))
-            equal = has[p.hash[has] == r.hash[to[has]]]
-            counted = 2 * int(p.chars[equal].sum()) < int(p.chars.sum())
-            out.append((page_id, host, to.astype("<i4").tobytes(), counted, to[has].tolist() if counted else [], to[equal].tolist() if counted else []))
-        cols = zip(*out) if out else [[]] * 6
-        types = [pa.int64(), pa.string(), pa.binary(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["page_id", "host", "matched", "counted", "seen", "same"])
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task by host and node."""
+    def tree(self, data: bytes) -> Tree:
+        if data not in self.made:
+            self.made[data] = self.matcher.tree(data)
+        return self.made[data]
+
+    def best(self, nodes: bytes, refs: list[bytes]) -> tuple[Tree, int, np.ndarray]:
+        """The page's tree, which of the references it matches best, and the matched nodes of that one."""
+        if self.matcher.full() or len(self.made) > 2_000:
+            self.__init__()
+        page, found = self.matcher.tree(nodes), []
+        for i, ref in enumerate(refs):
+            r = self.tree(ref)
+            to = np.array(self.matcher.match(page, r), np.int32)
+            found.append((-2 * int((to >= 0).sum()) / (len(to) + len(r.kids)), i, to))
+        _, i, to = min(found, key=lambda x: x[:2])
+        return page, i, to
+
+
+def _near_matched(page: Tree, to: np.ndarray) -> np.ndarray:
+    """Of each node the reference's node that it, or else its nearest matched ancestor, matches."""
+    out = to.tolist()
+    for i, p in enumerate(page.parent.tolist()):
+        if out[i] < 0:
+            out[i] = out[p]
+    return np.array(out, np.int32)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a batch by host, layout of the reference and node, from ``host, nodes, refs``."""
+    aligner = _Aligner()
     for b in batches:
-        seen, same = Counter(), Counter()
-        for host, s, e in zip(*(c.to_pylist() for c in b.columns)):
-            seen.update([(host, n) for n in s])
-            same.update([(host, n) for n in e])
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array([n for _, n in seen], pa.int32()), pa.array(list(seen.values()), pa.int64()), pa.array([same[k] for k in seen], pa.int64())], ["host", "node", "seen", "same"])
-
-
-def template_nodes(pages: DataFrame, constant: float = 0.8, least: int = 4) -> DataFrame:
-    """``page_id, page_hash, template``: of each page with any, its nodes whose text is the host's template."""
-    bones = cut(skeletons(pages), "html-skeletons")
-    order = F.struct(F.xxhash64("page_id", "nodes").alias("h"), "nodes")
-    refs = bones.groupBy("host").agg(F.min(order).alias("r"), F.count("*").alias("pages")).where(F.col("pages") > least).select("host", F.col("r.nodes").alias("ref"))
-    aligned = bones.join(refs, "host").select("page_id", "host", "nodes", "ref").mapInArrow(_aligned, "page_id long, host string, matched binary, counted boolean, seen array<int>, same array<int>")
-    aligned = cut(aligned, "html-aligned")
-    counts = aligned.where("counted").select("host", "seen", "same").mapInArrow(_summed, "host string, node int, seen long, same long").groupBy("host", "node").agg(F.sum("seen").alias("seen"), F.sum("same").alias("same"))
-    template = counts.where((F.col("seen") >= least) & (F.col("same") >= constant * F.col("seen"))).groupBy("host").agg(F.collect_list("node").alias("nodes"))
+        total: dict[tuple[str, int], np.ndarray] = {}
+        for host, nodes, refs in zip(*(c.to_pylist() for c in b.columns)):
+            page, i, to = aligner.best(nodes, [r["nodes"] for r in refs])
+            ref = aligner.tree(refs[i]["nodes"])
+            n = total.setdefault((host, refs[i]["layout"]), np.zeros((len(ref.kids), 5), np.int64))
+            near = _near_matched(page, to)
+            has = np.flatnonzero(page.chars > 0)
+            own = has[to[has] >= 0]
+            equal = own[page.hash[own] == ref.hash[to[own]]]
+            n[0, 0] += 1
+            if 2 * int(page.chars[equal].sum()) < int(page.chars.sum()):
+                n[to[own], 1] += 1
+                n[to[equal], 2] += 1
+            np.add.at(n, (near[has], 3), page.chars[has])
+            np.add.at(n, (near[has], 4), page.linked[has])
+        rows = [(h, k, node, *r) for (h, k), n in total.items() for node, r in enumerate(n.tolist()) if any(r)]
+        types = [pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 5]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, types)], ["host", "layout", "node", *_COUNTS])
+
+
+_COUNTS = ["pages", "seen", "same", "chars", "linked"]
+
+
+def wrapper_of(nodes: bytes, counts: np.ndarray, constant: float, least: int, share: float, names: bool) -> bytes:
+    """Bits of each node of a reference, from its counts: ``_COUNTS`` by column, a row a node."""
+    ref = Tree(nodes, {})
+    n = len(ref.kids)
+    pages, seen, same, chars, linked = counts.T
+    bits = ref.bits if names else ref.bits & ~(OUT | MAIN)
+    out, marked, prose = (bits & OUT) > 0, (bits & MAIN) > 0, (bits & IS_PROSE) > 0
+    marked &= ~out
+    stable = (seen + 1 >= least) & (same > 0) & (same + 1 >= constant * (seen + 1))
+    links = linked > 0.6 * chars
+    slots = np.where(out | stable | links, 0, chars)
+    below = slots.copy()
+    for i in range(n - 1, 0, -1):
+        below[ref.parent[i]] += below[i]
+    total = int(below[0])
+    by_marks = int(slots[marked].sum())
+    if marked.any() and (pages.sum() < least or 2 * by_marks >= total):
+        inside = marked
+        stable = stable & ~prose | (seen >= 8) & (same >= 0.95 * seen)
+    else:
+        marked, top = np.zeros(n, bool), 0
+        while more := [k for k in ref.kids[top] if below[k] >= share * total and total and not prose[k]]:
+            top = more[0]
+        inside = np.zeros(n, bool)
+        inside[top] = True
+        for i in range(top + 1, n):
+            inside[i] = inside[ref.parent[i]]
+        inside &= ~out
+    title = ((bits & TITLE) > 0) & ~out
+    keep = (inside & (marked | ~links) | title) & ~out
+    return (KEEP * keep | INSIDE * inside | MARKED * marked | TEMPLATE * stable).astype(np.uint8).tobytes()
+
+
+def _text(page: Tree, to: np.ndarray, ref: Tree, wrapper: bytes, blocks: list[tuple[int, str, int]], names: bool) -> str:
+    """The text of a page's blocks that its wrapper keeps."""
+    wrap, near = np.frombuffer(wrapper, np.uint8), _near_matched(page, to)
+    out = []
+    for node, block, links in blocks:
+        w, bits = int(wrap[near[node]]), int(page.bits[node])
+        if names and bits & OUT:
+            continue
+        if to[node] >= 0:
+            keep = w & KEEP and not (w & TEMPLATE and page.hash[node] == ref.hash[to[node]])
+        else:
+            keep = w & INSIDE or bits & TITLE
+        if keep and (w & MARKED or names and bits & MAIN or links <= 0.75 * len(block)):
+            out.append(block)
+    return "\n".join(out)
+
+
+def _joined(pages: DataFrame, table: DataFrame, hosts: DataFrame, column: str, max_broadcast: int) -> DataFrame:
+    """``pages`` with ``table``'s column of their host; null where it has none. ``hosts`` has ``host, pages``."""
+    size = table.agg(F.sum(F.aggregate(column, F.lit(0).cast("long"), lambda n, r: n + F.octet_length(r["nodes"]) + 64))).first()[0] or 0
+    if size <= max_broadcast:
+        return pages.join(F.broadcast(table), "host", "left")
+    hot = hosts.where(F.col("pages") > SALT_PAGES).select("host", F.ceil(F.col("pages") / SALT_PAGES).cast("long").alias("salts"))
+    small = hot.count() <= MAX_HOT
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    dealt = pages.join(F.broadcast(hot) if small else hot, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "nodes"), salts)).drop("salts")
+    copies = table.join(F.broadcast(hot) if small else hot, "host", "left").select("host", column, F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    return dealt.join(copies, ["host", "salt"], "left").drop("salt")
+
+
+def _own(column: str) -> Column:
+    """The entry of a page's own layout, or else all entries."""
+    own = F.filter(column, lambda r: r["layout"] == F.col("layout"))
+    return F.when(F.size(own) > 0, own).otherwise(F.col(column))
+
+
+def wrappers(bones: DataFrame, constant: float = 0.8, least: int = 2, layouts: int = 4, share: float = 0.7, names: bool = True, max_broadcast: int = 50_000_000) -> tuple[DataFrame, DataFrame]:
+    """``host, wrappers`` (layout, nodes and bits of each reference, the commonest layout first) and ``host, pages``, from what ``parsed`` gives."""
+    groups = bones.where("chars > 0").groupBy("host", "layout").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("page_id", "nodes").alias("h"), "nodes")).alias("r"))
+    groups = cut(groups.select("host", "layout", "n", F.col("r.nodes").alias("nodes")), "html-groups")
+    hosts = cut(groups.groupBy("host").agg(F.sum("n").alias("pages")), "html-hosts")
+    ranked = groups.select("host", "layout", "n", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "layout")).alias("rank")).where(F.col("rank") <= layouts)
+    chosen = cut(groups.join(ranked.select("host", "layout", "rank"), ["host", "layout"]).select("host", "layout", "rank", "nodes"), "html-references")
+    refs = chosen.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rank", "layout", "nodes"))).alias("refs"))
+    aligned = _joined(bones.where("chars > 0").select("page_id", "host", "layout", "nodes"), refs, hosts, "refs", max_broadcast)
+    counts = aligned.where("refs IS NOT NULL").select("host", "nodes", _own("refs").alias("refs")).mapInArrow(_counted, "host string, layout long, node int, " + ", ".join(f"{c} long" for c in _COUNTS))
+    counts = counts.groupBy("host", "layout", "node").agg(*(F.sum(c).alias(c) for c in _COUNTS)).groupBy("host", "layout").agg(F.collect_list(F.struct("node", *_COUNTS)).alias("counts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, lists = [], []
-            for page_id, matched, nodes in zip(*(c.to_pylist() for c in b.columns)):
-                found = np.flatnonzero(np.isin(np.frombuffer(matched, "<i4"), nodes))
-                if len(found):
-                    ids.append(page_id)
-                    lists.append(found.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], ["page_id", "template"])
-
-    return aligned.join(template, "host").select("page_id", "matched", "nodes").mapInArrow(run, "page_id long, template array<int>")
-
-
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", constant: float = 0.8, least: int = 4) -> DataFrame:
+            made = []
+            for nodes, counts in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
+                n = np.zeros((len(nodes) // 24, len(_COUNTS)), np.int64)
+                for c in counts or ():
+                    n[c["node"]] = [c[x] for x in _COUNTS]
+                made.append(wrapper_of(nodes, n, constant, least, share, names))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(made, pa.binary())], ["host", "layout", "rank", "nodes", "bits"])
+
+    made = chosen.join(counts, ["host", "layout"], "left").select("host", "layout", "rank", "nodes", "counts").mapInArrow(run, "host string, layout long, rank int, nodes binary, bits binary")
+    made = cut(made.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rank", "layout", "nodes", "bits"))).alias("wrappers")), "html-wrappers")
+    remove(groups)
+    remove(chosen)
+    return made, hosts
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", names: bool = True, max_broadcast: int = 50_000_000, **options) -> DataFrame:
     """``page_id, url, text, n_chars`` of each page."""
     ship(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("html"))
-    key = F.xxhash64("page_id", "url", "html")  # tells rows that repeat an identifier apart by their page
-    template = cut(template_nodes(rows.select(key.alias("page_id"), "url", "html"), constant, least).dropDuplicates(["page_id"]), "html-template")
+    bones = cut(parsed(rows), "html-parsed")
+    made, hosts = wrappers(bones, names=names, max_broadcast=max_broadcast, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = _Aligner()
         for b in batches:
-            ids, urls, sources, lists = b.columns
             for lo in range(0, b.num_rows, 500):
-                texts = [Page(s).text(set(t or ())) for s, t in zip(sources.slice(lo, 500).to_pylist(), lists.slice(lo, 500).to_pylist())]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, 500), urls.slice(lo, 500), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+                ids, urls, *rest = (c.slice(lo, 500) for c in b.columns)
+                texts = []
+                for nodes, at, blocks, links, wraps in zip(*(c.to_pylist() for c in rest)):
+                    if not blocks:
+                        texts.append("")
+                        continue
+                    page, i, to = aligner.best(nodes, [w["nodes"] for w in wraps])
+                    texts.append(_text(page, to, aligner.tree(wraps[i]["nodes"]), wraps[i]["bits"], list(zip(at, blocks, links)), names))
+                yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    out = rows.withColumn("k", key).join(template.select(F.col("page_id").alias("k"), "template"), "k", "left")
-    return out.select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    out = _joined(bones, made, hosts, "wrappers", max_broadcast)
+    return out.select("page_id", "url", "nodes", "at", "texts", "links", _own("wrappers").alias("wrappers")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
