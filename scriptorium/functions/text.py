@@ -274,6 +274,10 @@ BIBTEX_TO_CSL = {"article": "article-journal", "book": "book", "inproceedings":
 CSL_TO_BIBTEX = {"article-journal": "article", "article-magazine": "article", "article-newspaper": "article", "book": "book", "chapter": "incollection", "paper-conference": "inproceedings", "report": "techreport"}
 
 
+#: Kinds of notes and the numbers that a reference manager has for them.
+NOTE_NUMBERS = {"in-text": 0, "footnotes": 1, "endnotes": 2, "0": 0, "1": 1, "2": 2}
+
+
 def _by(c: Column, table: dict[str, str], default: str) -> Column:
     out = F.when(F.lit(False), "")
     for k, v in table.items():
