@@ -7,15 +7,12 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import scan
 from scriptorium.functions import text as T
-from scriptorium.functions.offsets import around, covered, matches, merged, overlap_pairs
+from scriptorium.functions.offsets import around, matches, merged, overlap_pairs
 from scriptorium.plans.planted import BIB_WHERE, SEGMENTS, bibliography, manuscripts
 from scriptorium.session import table
 
-#: Patterns of annotations, content lazy and across lines.
 ADDITION, DELETION, SUBSTITUTION, COMMENT = r"\{\+\+[\s\S]*?\+\+\}", r"\{--[\s\S]*?--\}", r"\{~~[\s\S]*?~~\}", r"\{>>[\s\S]*?<<\}"
 DELIMITER = r"\{\+\+|\+\+\}|\{--|--\}|\{~~|~~\}"
-ANY = rf"{ADDITION}|{DELETION}|{SUBSTITUTION}|\{{#[a-zA-Z0-9_-]+>>[\s\S]*?<<\}}|{COMMENT}|\{{[#/][a-zA-Z0-9_-]+\}}|\{{==[\s\S]*?==\}}|(?<!\{{)==[^}}=]+==\{{[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\}}|(?<!\{{)==[^}}=]+==(?!\}})|~~[\s\S]*?~~|<!--[\s\S]*?-->"
-CITATION = r"\[[^\]]*@[^\]]*\]"
 
 
 def _content(df: DataFrame, pattern: str) -> DataFrame:
@@ -64,8 +61,18 @@ def code_regions(spark: SparkSession, d: str) -> DataFrame:
     return scan.rows_from(manuscripts(spark, d), scan.code_regions, "start long, end long", only_if="`|~~~").drop("no")
 
 
+def navigation(docs: DataFrame) -> DataFrame:
+    """``doc_id, start, end`` of the annotations outside code, each text read once."""
+
+    def found(text: str) -> list[tuple[int, int]]:
+        code = scan.code_regions(text)
+        return [(s, e) for _, s, e in scan.marks(text) if not scan.overlaps(code, s, e)]
+
+    return scan.rows_from(docs, found, "start long, end long", only_if="[{~<]|==").drop("no")
+
+
 def nav_matches(spark: SparkSession, d: str) -> DataFrame:
-    return covered(matches(manuscripts(spark, d), ANY), code_regions(spark, d)).select("doc_id", "start", "end")
+    return navigation(manuscripts(spark, d))
 
 
 def nav_next_prev(spark: SparkSession, d: str) -> DataFrame:
@@ -73,13 +80,14 @@ def nav_next_prev(spark: SparkSession, d: str) -> DataFrame:
 
 
 def citations(docs: DataFrame, skip_code: bool = True) -> DataFrame:
-    """``doc_id, key, key_start, key_end`` of every citation key within brackets outside code."""
-    if skip_code:
-        docs = scan.text_from(docs.where(F.col("text").contains("@")), lambda t: scan.blank_regions(t, scan.code_regions(t)), "text")
-    groups = matches(docs, CITATION).select(F.struct("doc_id", "start").alias("g"), "match")
-    keys = matches(groups, "@[A-Za-z0-9_:-]+", "g", "match")
-    at = F.col("g.start") + F.col("start") + 1
-    return keys.select(F.col("g.doc_id").alias("doc_id"), F.col("g.start").alias("cluster"), F.substr("match", F.lit(2)).alias("key"), at.alias("key_start"), (at + F.length("match") - 1).alias("key_end"))
+    """``doc_id, cluster, key, key_start, key_end`` of every citation key within brackets outside code; ``cluster`` is where the bracket opens."""
+
+    def found(text: str) -> list[tuple[int, str, int, int]]:
+        if skip_code:
+            text = scan.blank_regions(text, scan.code_regions(text))
+        return [(opened, key, at, at + len(key)) for opened, key, at in scan.citation_keys(text)]
+
+    return scan.rows_from(docs, found, "cluster long, key string, key_start long, key_end long", only_if="@").drop("no")
 
 
 def citation_usages(spark: SparkSession, d: str) -> DataFrame:
@@ -95,9 +103,12 @@ def usages_of_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 def key_at_offset(spark: SparkSession, d: str) -> DataFrame:
-    c = citations(manuscripts(spark, d))
-    at = F.lit(12)
-    return c.where((F.col("key_start") <= at) & (at <= F.col("key_end"))).select("doc_id", "key")
+    """The key at every seventh place of each manuscript."""
+
+    def found(text: str) -> list[tuple[int, str]]:
+        return [(at, key) for at in range(0, len(text) + 1, 7) if (key := scan.key_at(text, at))]
+
+    return scan.rows_from(manuscripts(spark, d), found, "place long, key string", only_if="@").drop("no")
 
 
 def bibliography_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -125,10 +136,9 @@ def completion_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def completion_context(spark: SparkSession, d: str) -> DataFrame:
-    """What has been typed of a key where the first space stands."""
-    typed = F.substring_index("text", " ", 1)
-    m = manuscripts(spark, d).select("doc_id", F.regexp_extract(typed, r"@([A-Za-z0-9_:-]*);?$", 1).alias("prefix"))
-    return m.where("prefix <> ''")
+    """What has been typed of a key at the first ``;`` after each ``@`` of a manuscript."""
+    places = F.regexp_extract_all("text", F.lit(r"@([A-Za-z0-9_:-]*);"), F.lit(1))
+    return manuscripts(spark, d).select("doc_id", F.posexplode(places).alias("no", "prefix")).select("doc_id", F.col("no").cast("long").alias("no"), "prefix")
 
 
 def has_citations(spark: SparkSession, d: str) -> DataFrame:
@@ -141,11 +151,17 @@ def strip_markup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def inert_zones(spark: SparkSession, d: str) -> DataFrame:
-    docs = manuscripts(spark, d)
-    zones = code_regions(spark, d)
-    for p in (ADDITION, DELETION, SUBSTITUTION, COMMENT, r"\{==[\s\S]*?==\}", "<!--[\\s\\S]*?-->", r"\$\$[\s\S]*?\$\$"):
-        zones = zones.unionByName(matches(docs, p).select("doc_id", "start", "end"))
-    return merged(zones)
+    return scan.rows_from(manuscripts(spark, d), scan.inert_zones, "start long, end long", only_if=r"[`~{$<]").drop("no")
+
+
+def ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Ranges of comments, ``doc_id, name, start, end``, made from lines of orders."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("name"), F.col("l_quantity").cast("long").alias("start"), (F.col("l_quantity").cast("long") + 3 + F.col("l_linenumber")).alias("end"))
+    return rows.distinct()
+
+
+def merged_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return merged(ranges(spark, d))
 
 
 def html_comment_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -164,8 +180,7 @@ def bare_at_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def comment_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("name"), F.col("l_quantity").cast("long").alias("start"), (F.col("l_quantity").cast("long") + 3 + F.col("l_linenumber")).alias("end")).distinct()
-    return overlap_pairs(rows).distinct().select("doc_id", "name", "other")
+    return overlap_pairs(ranges(spark, d)).distinct().select("doc_id", "name", "other")
 
 
 _S = f"WITH {SEGMENTS}"
@@ -193,14 +208,22 @@ SQL = {
     "citation_usages": _S + _CITES + " SELECT doc_id, key, key_start, key_end FROM c",
     "citation_missing_keys": _S + _CITES + " SELECT doc_id, key, key_start FROM c WHERE key NOT IN (SELECT key FROM bib)",
     "usages_of_key": _S + _CITES + " SELECT doc_id, key_start, key_end FROM c WHERE key = 'p7'",
-    "key_at_offset": _S + _CITES + " SELECT doc_id, key FROM c WHERE 12 BETWEEN key_start AND key_end",
+    "key_at_offset": _S + """, c AS (SELECT doc_id, 'p' || a AS key, s + 2 AS key_start, s + 2 + length('p' || a) AS key_end FROM segs WHERE kind = 5
+        UNION ALL SELECT doc_id, 'p' || b, s + 2 + length('p' || a) + 7, s + 2 + length('p' || a) + 7 + length('p' || b) FROM segs WHERE kind = 5
+        UNION ALL SELECT doc_id, 'p1', s + 8, s + 10 FROM segs WHERE kind = 6),
+        k AS (SELECT *, unnest(range((key_start - 1) // 7 * 7, key_end + 1, 7)) AS place FROM c)
+        SELECT doc_id, place, key FROM k WHERE place >= key_start - 1""",
+    "merged_ranges": """WITH r AS (SELECT DISTINCT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS name, CAST(l_quantity AS BIGINT) AS s, CAST(l_quantity AS BIGINT) + 3 + l_linenumber AS e FROM lineitem),
+        b AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r),
+        i AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM b)
+        SELECT doc_id, min(s) AS start, max(e) AS "end" FROM i GROUP BY doc_id, island""",
     "bibliography_filter": _S + _CITES + " SELECT key, title FROM bib WHERE key IN (SELECT key FROM c)",
     "citation_cluster_status": _S + _CITES + """ SELECT doc_id, cluster, CASE WHEN bool_and(f) THEN 'resolved' WHEN bool_or(f) THEN 'mixed' ELSE 'missing' END AS status
         FROM (SELECT c.*, key IN (SELECT key FROM bib) AS f FROM c) GROUP BY doc_id, cluster""",
     "find_references": _S + _CITES + " SELECT bib.key, count(c.key) AS n, count(DISTINCT c.doc_id) AS docs FROM bib LEFT JOIN c ON c.key = bib.key GROUP BY bib.key",
     "distinct_cited": _S + _CITES + " SELECT DISTINCT key FROM c",
     "completion_prefix": "SELECT 'p' || p_partkey AS key, p_name AS title FROM part WHERE " + BIB_WHERE + " AND (starts_with('p' || p_partkey, 'p12') OR contains(lower(p_name), 'red bolt'))",
-    "completion_context": _S + " SELECT doc_id, 'p' || a AS prefix FROM segs WHERE ord = 1 AND kind = 5",
+    "completion_context": _S + " SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS no, 'p' || a AS prefix FROM segs WHERE kind = 5",
     "has_citations": _S + " SELECT cited, count(*) AS n FROM (SELECT doc_id, bool_or(kind IN (5, 6)) AS cited FROM segs GROUP BY doc_id) GROUP BY cited",
     "strip_markup": _S + """, o AS (SELECT doc_id, ord, CASE kind WHEN 0 THEN 'add' || a WHEN 1 THEN 'del' || a WHEN 2 THEN 'old' || b || '~>new' || a WHEN 3 THEN '' ELSE seg END AS x FROM segs),
         j AS (SELECT doc_id, trim(string_agg(x, ' ' ORDER BY ord)) AS out FROM o GROUP BY doc_id) SELECT doc_id, length(out) AS chars, md5(out) AS hash FROM j""",
