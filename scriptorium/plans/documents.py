@@ -40,8 +40,7 @@ def docx_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def preview_html(spark: SparkSession, d: str) -> DataFrame:
-    short = _docs(spark, d).select("doc_id", F.substring_index("text", "\n\n- one", 1).alias("text"))
-    return scan.text_from(short, markdown.to_html, "html").select("doc_id", "html")
+    return scan.text_from(_docs(spark, d), markdown.to_html, "html").select("doc_id", "html")
 
 
 FORMULA = r"concat('\\frac{x_{', p_size, '}}{2}+\\sqrt{', p_partkey, '}')"
@@ -95,9 +94,11 @@ SQL = {
         UNION ALL SELECT p_partkey, 1, '', 'citation', '@p' || p_partkey || ', p. ' || p_size, '', 'keys=p' || p_partkey || ';locators=p. ' || p_size FROM part
         UNION ALL SELECT p_partkey, 1, '', 'note', '', '', 'label=n' FROM part""",
     "footnote_definitions": "SELECT p_partkey AS doc_id, 'n' AS label, 'Note ' || p_partkey || '.' AS note FROM part",
-    "docx_roundtrip": """SELECT p_partkey AS doc_id, concat('# ', p_name, chr(10), chr(10), 'Some **', p_type, '** text and ', p_brand, ' (p', p_partkey, ') here[^1].', chr(10), chr(10), '- one ', p_size, chr(10), '- two', chr(10), '   - three', chr(10), chr(10),
-        '```sql', chr(10), 'SELECT ', p_partkey, chr(10), '```', chr(10), chr(10), '| a | b |', chr(10), '| --- | --- |', chr(10), '| ', p_size, ' | x |', chr(10), chr(10), '> quoted ', p_partkey, chr(10), chr(10), '[^1]: Note ', p_partkey, '.', chr(10)) AS text FROM part""",
-    "preview_html": """SELECT p_partkey AS doc_id, concat('<h1>', p_name, '</h1>', chr(10), '<p>Some <strong>', p_type, '</strong> text and <ins>', p_brand, '</ins> <span class="citation">[@p', p_partkey, ', p. ', p_size, ']</span> here<sup class="note">n</sup>.</p>') AS html FROM part""",
+    "docx_roundtrip": """SELECT p_partkey AS doc_id, concat('# ', p_name, chr(10), chr(10), 'Some **', p_type, '** text and ', p_brand, ' (@p', p_partkey, ') here[^n].', chr(10), chr(10), '- one ', p_size, chr(10), '- two', chr(10), '   - three', chr(10), chr(10),
+        '```sql', chr(10), 'SELECT ', p_partkey, chr(10), '```', chr(10), chr(10), '| a | b |', chr(10), '| --- | --- |', chr(10), '| ', p_size, ' | x |', chr(10), chr(10), '> quoted ', p_partkey, chr(10), chr(10), 'Citation data for @p', p_partkey, ' was not found in the bibliography file.', chr(10), chr(10), '[^n]: Note ', p_partkey, '.', chr(10)) AS text FROM part""",
+    "preview_html": """SELECT p_partkey AS doc_id, array_to_string(['<h1>' || p_name || '</h1>', concat('<p>Some <strong>', p_type, '</strong> text and <ins>', p_brand, '</ins> <span class="citation">[@p', p_partkey, ', p. ', p_size, ']</span> here<sup class="note">n</sup>.</p>'),
+        '<ul>', '<li>one ' || p_size, '</li>', '<li>two', '<ul>', '<li>three', '</li></ul>', '</li></ul>', '<pre><code class="language-sql">SELECT ' || p_partkey || '</code></pre>',
+        '<table><tr><th>a</th><th>b</th></tr><tr><td>' || p_size || '</td><td>x</td></tr></table>', '<blockquote>quoted ' || p_partkey || '</blockquote>', '<p class="note" id="n">Note ' || p_partkey || '.</p>'], chr(10)) AS html FROM part""",
     "latex_roundtrip": "SELECT p_partkey, concat('\\frac{x_{', p_size, '}}{2}+\\sqrt{', p_partkey, '}') AS latex FROM part",
     "latex_tokens": f"""WITH x AS (SELECT p_partkey, {_N} AS a, length(CAST(p_partkey AS VARCHAR)) AS b FROM part)
         SELECT p_partkey AS doc_id, 'command' AS type, 2 AS n, 15 + a AS last FROM x UNION ALL SELECT p_partkey, 'open', 4, 20 + a FROM x UNION ALL SELECT p_partkey, 'close', 4, 21 + a + b FROM x

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.operators import bib
+from scriptorium.operators import documents as D
 from scriptorium.operators.threads import roots
 from scriptorium.plans.planted import SEGMENTS, segments
 from scriptorium.session import table
@@ -82,11 +83,8 @@ def first_appearance_renumber(spark: SparkSession, d: str) -> DataFrame:
 
 def note_orphans(spark: SparkSession, d: str) -> DataFrame:
     """References without a definition, and definitions without a reference."""
-    s = segments(spark, d)
-    refs = s.where("kind < 4").select("doc_id", (F.col("a") % 6).alias("label")).distinct().withColumn("r", F.lit(1))
-    defs = s.where("kind >= 4").select("doc_id", (F.col("a") % 6).alias("label")).distinct().withColumn("f", F.lit(1))
-    out = refs.join(defs, ["doc_id", "label"], "full_outer")
-    return out.where("r IS NULL OR f IS NULL").select("doc_id", "label", F.when(F.col("f").isNull(), "undefined").otherwise("unused").alias("problem"))
+    s = segments(spark, d).select("doc_id", "kind", (F.col("a") % 6).alias("label"))
+    return D.unmatched(s.where("kind < 4"), s.where("kind >= 4"), ["doc_id", "label"])
 
 
 def reply_roots(spark: SparkSession, d: str) -> DataFrame:
@@ -115,67 +113,54 @@ def code_block_group(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rowspans(spark: SparkSession, d: str) -> DataFrame:
-    """Vertically merged cells: a cell that continues the one above adds to its span."""
+    """Vertically merged cells."""
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_suppkey") % 3).alias("col"), F.col("l_linenumber").alias("row"), "l_quantity").groupBy("doc_id", "col", "row").agg((F.max("l_quantity") % 2 == 0).alias("cont"))
-    w = Window.partitionBy("doc_id", "col").orderBy("row")
-    x = li.withColumn("cell", F.sum(F.when(F.col("cont"), 0).otherwise(1)).over(w)).where("cell > 0")
-    return x.groupBy("doc_id", "col", "cell").agg(F.min("row").cast("long").alias("row"), F.count("*").alias("rowspan")).drop("cell")
+    return D.rowspans(li, F.col("cont"), ["doc_id", "col"])
 
 
 def comment_transitions(spark: SparkSession, d: str) -> DataFrame:
     """Comments that open and close between neighbouring runs."""
-    s = segments(spark, d)
-    ids = F.array_distinct(F.array(F.col("a") % 3, F.col("b") % 3))
-    w = Window.partitionBy("doc_id").orderBy("ord")
-    none = F.array().cast("array<bigint>")
-    x = s.withColumn("ids", ids).withColumn("was", F.coalesce(F.lag("ids").over(w), none))
-    return x.select("doc_id", "ord", F.array_join(F.array_sort(F.array_except("ids", "was")).cast("array<string>"), ",").alias("opens"), F.array_join(F.array_sort(F.array_except("was", "ids")).cast("array<string>"), ",").alias("closes"))
+    x = D.transitions(segments(spark, d).withColumn("ids", F.array_distinct(F.array(F.col("a") % 3, F.col("b") % 3))))
+    return x.select("doc_id", "ord", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("opens", "closes")])
 
 
 def list_spacing(spark: SparkSession, d: str) -> DataFrame:
-    s = segments(spark, d)
     kind = F.when(F.col("kind") < 3, "bullet").when(F.col("kind") < 5, "ordered")
-    w = Window.partitionBy("doc_id").orderBy("ord")
-    x = s.withColumn("list", kind).withColumn("prev", F.lag("list").over(w))
-    return x.groupBy(F.when(F.col("list").isNotNull() & F.col("list").eqNullSafe(F.col("prev")), "same list").when(F.col("list").isNotNull(), "new list").otherwise("text").alias("gap")).agg(F.count("*").alias("n"))
+    return D.list_gaps(segments(spark, d), kind).groupBy("gap").agg(F.count("*").alias("n"))
 
 
 def label_sort(spark: SparkSession, d: str) -> DataFrame:
     """Labels in order: numbers first, by value, then the others."""
     p = table(spark, d, "part").select(F.expr("CASE WHEN p_partkey % 3 = 0 THEN concat('n', p_partkey) ELSE CAST(p_partkey AS STRING) END").alias("label"), "p_size")
-    w = Window.partitionBy("p_size").orderBy(F.col("label").try_cast("long").asc_nulls_last(), "label")
+    w = Window.partitionBy("p_size").orderBy(*D.label_order("label"))
     return p.select("p_size", "label", F.row_number().over(w).cast("long").alias("place"))
 
 
 def style_suggestions(spark: SparkSession, d: str) -> DataFrame:
     """For names that are no known style, the first three known ones that contain them, in the order of the list."""
-    known = table(spark, d, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("i"), F.col("p_name").alias("style"))
+    known = table(spark, d, "part").select(F.col("p_partkey").alias("i"), F.col("p_name").alias("style"))
     asked = spark.createDataFrame([("red",), ("bolt",), ("small ring",), ("zzz",)], "name string")
-    missing = asked.join(known, F.col("name") == F.col("style"), "left_anti")
-    pairs = missing.join(known, F.contains("style", "name"))
-    w = Window.partitionBy("name").orderBy("i")
-    return pairs.withColumn("r", F.row_number().over(w)).where("r <= 3").select("name", "style", F.col("r").cast("long").alias("place"))
+    return D.suggestions(asked, known)
 
 
 def key_locale_sort(spark: SparkSession, d: str) -> DataFrame:
-    """Documents' first words in the order of the language, not of the code points."""
-    w = table(spark, d, "documents").select(F.lower(F.regexp_extract("text", r"^([\p{L}]+)", 1)).alias("word")).where("word <> ''").distinct()
-    top = w.orderBy(F.expr("word COLLATE UNICODE"), "word").limit(40)
-    return top.agg(F.count("*").alias("n"), F.max(F.length("word")).cast("long").alias("longest"))
+    """Each part's key among those of its size, in the order of the language: accents and cases count last."""
+    letters = F.element_at(F.array(*map(F.lit, "aAäÄbBzéeE")), (F.col("p_partkey") % 10 + 1).cast("int"))
+    p = table(spark, d, "part").select("p_size", F.concat(letters, F.lpad(F.col("p_partkey").cast("string"), 7, "0")).alias("key"))
+    w = Window.partitionBy("p_size").orderBy(*D.locale_order("key"))
+    return p.select("p_size", "key", F.row_number().over(w).cast("long").alias("place"))
 
 
 def map_merge(spark: SparkSession, d: str) -> DataFrame:
     """Two maps merged, the right one winning."""
-    n = table(spark, d, "nation")
-    left = n.groupBy("n_regionkey").agg(F.collect_set(F.struct((F.col("n_nationkey") % 4).alias("k"), (F.col("n_nationkey") % 4 + 100).alias("v"))).alias("l"), F.collect_set(F.struct((F.col("n_nationkey") % 3).alias("k"), (F.col("n_nationkey") % 3 + 200).alias("v"))).alias("r"))
-    keep = F.filter("l", lambda x: ~F.exists("r", lambda y: y.k == x.k))
-    m = left.select("n_regionkey", F.explode(F.concat(keep, F.col("r"))).alias("e"))
-    return m.select("n_regionkey", F.col("e.k").alias("k"), F.col("e.v").alias("v"))
+    pairs = lambda n, v: F.map_from_entries(F.collect_set(F.struct((F.col("n_nationkey") % n).alias("k"), (F.col("n_nationkey") % n + v).alias("v"))))
+    both = table(spark, d, "nation").groupBy("n_regionkey").agg(pairs(4, 100).alias("l"), pairs(3, 200).alias("r"))
+    return both.select("n_regionkey", F.explode(D.merged_map(F.col("l"), F.col("r"))).alias("k", "v"))
 
 
 def location_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
-    return li.select(F.lower(F.concat(F.lit("/Docs/"), F.col("l_orderkey") % 100)).alias("path"), F.col("l_linenumber").alias("line")).dropDuplicates(["path", "line"]).groupBy("path").agg(F.count("*").alias("n"))
+    rows = table(spark, d, "lineitem").select(F.concat(F.expr("CASE l_linenumber % 2 WHEN 0 THEN '/Docs/' ELSE '/docs//./' END"), F.col("l_orderkey") % 100).alias("path"), (F.col("l_linenumber") % 3).alias("line"))
+    return D.locations(rows, "path", ["line"]).groupBy("path").agg(F.count("*").alias("n"))
 
 
 def debounce_last_event(spark: SparkSession, d: str) -> DataFrame:
@@ -192,15 +177,15 @@ def latest_version(spark: SparkSession, d: str) -> DataFrame:
 def diagnostics_merge(spark: SparkSession, d: str) -> DataFrame:
     """Diagnostics of two sources for each document, counted by code."""
     s = segments(spark, d)
-    one = s.where("kind = 5 AND a % 7 = 3").select("doc_id", F.lit("missing-key").alias("code"))
-    two = s.where("kind = 3 AND a % 2 = 0").select("doc_id", F.lit("orphan-comment").alias("code"))
-    return one.unionByName(two).groupBy("doc_id").pivot("code", ["missing-key", "orphan-comment"]).count().select("doc_id", F.coalesce("missing-key", F.lit(0)).alias("missing"), F.coalesce("orphan-comment", F.lit(0)).alias("orphans"))
+    return D.diagnostics({"missing": s.where("kind = 5 AND a % 7 = 3"), "orphans": s.where("kind = 3 AND a % 2 = 0")})
 
 
 def table_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Columns of a table's grid: the most that the spans of a row add up to."""
-    r = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum((F.col("l_quantity").cast("long") % 3) + 1).alias("cols"))
-    return r.groupBy("l_orderkey").agg(F.max("cols").alias("columns"))
+    """Columns of a table's grid: orders are tables of two cells a row, the first of which spans two rows where a number is odd."""
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("int").alias("q"))
+    cells = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("row"), "q", F.explode(F.array(F.lit(0), F.lit(1))).alias("cell"))
+    spans = cells.select("doc_id", "row", "cell", F.when(F.col("cell") == 0, F.lit(1)).otherwise(F.col("q") % 3 + 1).alias("colspan"), F.when((F.col("cell") == 0) & (F.col("q") % 2 == 1), 2).otherwise(1).alias("rowspan"))
+    return D.grids(spans)
 
 
 _S = f"WITH {SEGMENTS}"
@@ -235,16 +220,20 @@ SQL = {
     "list_spacing": _S + """, x AS (SELECT doc_id, ord, CASE WHEN kind < 3 THEN 1 WHEN kind < 5 THEN 2 ELSE 0 END AS l FROM segs), y AS (SELECT l, lag(l) OVER (PARTITION BY doc_id ORDER BY ord) AS p FROM x)
         SELECT CASE WHEN l > 0 AND l = coalesce(p, -1) THEN 'same list' WHEN l > 0 THEN 'new list' ELSE 'text' END AS gap, count(*) AS n FROM y GROUP BY 1""",
     "label_sort": "SELECT p_size, CASE WHEN p_partkey % 3 = 0 THEN 'n' || p_partkey ELSE '' || p_partkey END AS label, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey % 3 = 0, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey END, 'n' || p_partkey) AS place FROM part",
-    "style_suggestions": """WITH k AS (SELECT p_partkey AS i, p_name AS style FROM part WHERE p_partkey < 200), q AS (SELECT * FROM (VALUES ('red'), ('bolt'), ('small ring'), ('zzz')) t(name) WHERE name NOT IN (SELECT style FROM k)),
+    "style_suggestions": """WITH k AS (SELECT p_partkey AS i, p_name AS style FROM part), q AS (SELECT * FROM (VALUES ('red'), ('bolt'), ('small ring'), ('zzz')) t(name) WHERE name NOT IN (SELECT style FROM k)),
         x AS (SELECT name, style, row_number() OVER (PARTITION BY name ORDER BY i) AS place FROM q JOIN k ON contains(style, name)) SELECT * FROM x WHERE place <= 3""",
+    "key_locale_sort": """WITH x AS (SELECT p_size, p_partkey, [1, 1, 2, 2, 3, 3, 5, 4, 4, 4][p_partkey % 10 + 1] AS base, [0, 1, 0, 1, 0, 1, 0, 1, 0, 1][p_partkey % 10 + 1] AS variant,
+        ['a', 'A', 'ä', 'Ä', 'b', 'B', 'z', 'é', 'e', 'E'][p_partkey % 10 + 1] || lpad('' || p_partkey, 7, '0') AS key FROM part)
+        SELECT p_size, key, row_number() OVER (PARTITION BY p_size ORDER BY CASE base WHEN 2 THEN 1 ELSE base END, p_partkey) AS place FROM x""",
     "map_merge": """WITH r AS (SELECT DISTINCT n_regionkey, n_nationkey % 3 AS k, n_nationkey % 3 + 200 AS v FROM nation), l AS (SELECT DISTINCT n_regionkey, n_nationkey % 4 AS k, n_nationkey % 4 + 100 AS v FROM nation)
         FROM r UNION ALL SELECT * FROM l WHERE (n_regionkey, k) NOT IN (SELECT (n_regionkey, k) FROM r)""",
-    "location_dedupe": "SELECT path, count(*) AS n FROM (SELECT DISTINCT '/docs/' || (l_orderkey % 100) AS path, l_linenumber FROM lineitem) GROUP BY path",
+    "location_dedupe": "SELECT path, count(*) AS n FROM (SELECT DISTINCT '/docs/' || (l_orderkey % 100) AS path, l_linenumber % 3 FROM lineitem) GROUP BY path",
     "debounce_last_event": """WITH x AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 10 MINUTE, true)::INT AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), y AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM x)
         SELECT user_id, arg_max(event_id, ts) AS event_id, count(*) AS events FROM y GROUP BY user_id, s""",
     "latest_version": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id",
     "diagnostics_merge": _S + " SELECT doc_id, count(*) FILTER (kind = 5) AS missing, count(*) FILTER (kind = 3) AS orphans FROM segs WHERE kind = 5 AND a % 7 = 3 OR kind = 3 AND a % 2 = 0 GROUP BY doc_id",
-    "table_grid": "SELECT l_orderkey, max(c) AS columns FROM (SELECT l_orderkey, CAST(sum(CAST(l_quantity AS BIGINT) % 3 + 1) AS BIGINT) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber) GROUP BY l_orderkey",
+    "table_grid": """WITH r AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n, CAST(max(l_quantity) AS INT) AS q FROM lineitem GROUP BY l_orderkey, l_linenumber),
+        x AS (SELECT doc_id, n, q, coalesce(lag(q) OVER (PARTITION BY doc_id ORDER BY n) % 2 = 1, false)::INT AS pushed FROM r)
+        SELECT doc_id, CAST(max(pushed + 1 + q % 3 + 1) AS BIGINT) AS columns FROM x GROUP BY doc_id""",
 }
 QUERIES = {k: globals()[k] for k in SQL}
-QUERIES["key_locale_sort"] = key_locale_sort

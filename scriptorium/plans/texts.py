@@ -154,7 +154,7 @@ def fallback_citation_text(spark: SparkSession, d: str) -> DataFrame:
 
 def comment_attribution(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
-    return c.select("conv_id", "turn", T.comment_attribution(F.expr("CASE WHEN conv_id % 3 <> 0 THEN role END"), F.expr("CASE WHEN turn % 2 = 0 THEN '2024-01-01' END"), F.substr("text", F.lit(1), F.lit(20))).alias("out"))
+    return c.select("conv_id", "turn", T.comment_attribution(F.expr("CASE WHEN conv_id % 3 <> 0 THEN role END"), F.expr("CASE WHEN turn % 2 = 0 THEN '2024-01-01' END"), F.col("text")).alias("out"))
 
 
 def timestamp_utc(spark: SparkSession, d: str) -> DataFrame:
@@ -184,12 +184,12 @@ def hex_paragraph_id(spark: SparkSession, d: str) -> DataFrame:
 
 def property_chunks(spark: SparkSession, d: str) -> DataFrame:
     parts = T.chunks(F.col("text"))
-    x = table(spark, d, "documents").where("n_chars < 2000").select("doc_id", F.posexplode(parts).alias("i", "chunk"))
+    x = table(spark, d, "documents").select("doc_id", F.posexplode(parts).alias("i", "chunk"))
     return x.select("doc_id", (F.col("i") + 1).cast("long").alias("no"), F.length("chunk").cast("long").alias("chars"), F.md5("chunk").alias("hash"))
 
 
 def chunks_joined(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents").where("n_chars < 2000").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("i", "chunk"))
+    x = table(spark, d, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("i", "chunk"))
     back = x.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "chunk"))), lambda c: c.chunk), "").alias("t"))
     return back.select("doc_id", F.md5("t").alias("hash"))
 
@@ -273,7 +273,7 @@ SQL = {
     "fallback_citation_text": """SELECT p_partkey, '(' || CASE WHEN p_partkey % 9 = 0 THEN 'k' || p_partkey ELSE
          CASE WHEN p_partkey % 11 = 0 THEN 'k' || p_partkey ELSE CASE p_partkey % 4 WHEN 0 THEN p_brand || ' and Sons' WHEN 1 THEN 'Doe' WHEN 2 THEN regexp_extract(p_name, '([^ ]+)$', 1) ELSE p_type END END
          || CASE WHEN p_size % 2 = 0 THEN ' 19' || p_size ELSE '' END || CASE WHEN p_size % 3 = 0 THEN ', p. 3' ELSE '' END END || ')' AS out FROM part""",
-    "comment_attribution": """SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN '' WHEN turn % 2 = 0 THEN role || ' (2024-01-01): ' ELSE role || ': ' END || substr(text, 1, 20) AS out FROM conversations""",
+    "comment_attribution": """SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN '' WHEN turn % 2 = 0 THEN role || ' (2024-01-01): ' ELSE role || ': ' END || text AS out FROM conversations""",
     "timestamp_utc": """WITH x AS (SELECT event_id, date_trunc('minute', ts) AS m FROM events) SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(m + INTERVAL 7 SECOND - INTERVAL 150 MINUTE, '%Y-%m-%dT%H:%M:%SZ')
          WHEN 3 THEN 'no date' ELSE strftime(m + INTERVAL 5 HOUR, '%Y-%m-%dT%H:%M:%SZ') END AS out FROM x""",
     "font_sizes": """WITH x AS (SELECT p_partkey, p_size, CASE WHEN p_size % 4 <> 0 THEN p_size END AS b, CASE WHEN p_size % 3 = 0 THEN CAST(floor(p_size / 2.0 + 0.5) AS BIGINT) END AS c FROM part)
@@ -285,9 +285,9 @@ SQL = {
          CASE k WHEN 0 THEN 'https://doi.org/10.1000/a%28' || p_size || '%29' WHEN 2 THEN 'https://search.worldcat.org/isbn/978-3-16-148410-0' WHEN 3 THEN CASE WHEN p_size < 10 THEN 'https://portal.issn.org/resource/ISSN/1234-567' || p_size END
           WHEN 5 THEN 'https://portal.issn.org/resource/ISSN/2049-363X' END AS url, k IN (0, 2, 5) OR k = 3 AND p_size < 10 AS valid FROM x""",
     "hex_paragraph_id": "SELECT p_partkey, lpad(upper(to_hex(p_partkey * 7919)), 8, '0') AS id FROM part",
-    "property_chunks": """WITH x AS (SELECT doc_id, text, unnest(range(1, CAST(ceil(length(text) / 240.0) AS BIGINT) + 1)) AS no FROM documents WHERE n_chars < 2000)
+    "property_chunks": """WITH x AS (SELECT doc_id, text, unnest(range(1, CAST(ceil(length(text) / 240.0) AS BIGINT) + 1)) AS no FROM documents)
         SELECT doc_id, no, length(substr(text, (no - 1) * 240 + 1, 240)) AS chars, md5(substr(text, (no - 1) * 240 + 1, 240)) AS hash FROM x""",
-    "chunks_joined": "SELECT doc_id, md5(text) AS hash FROM documents WHERE n_chars < 2000 AND text <> ''",
+    "chunks_joined": "SELECT doc_id, md5(text) AS hash FROM documents WHERE text <> ''",
     "set_style_line": """SELECT p_partkey, CASE p_partkey % 3 WHEN 2 THEN concat('---', chr(10), 'csl: a$1b', chr(10), '---', chr(10), chr(10), 'Body ', p_type) ELSE concat('---', chr(10), 'title: ', p_name, chr(10), 'csl: a$1b', chr(10), '---', chr(10), 'Body ', p_type) END AS out FROM part""",
     "color_resolve": "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'red' WHEN 1 THEN 'green' WHEN 2 THEN 'teal' WHEN 4 THEN NULL ELSE 'gray-25' END AS color FROM part",
     "href_format": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '<' || url || '(a b)>' ELSE url END AS out FROM pages",
