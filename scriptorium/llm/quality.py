@@ -3,9 +3,11 @@
 Trusted positives are rows labelled 1; unlabelled text is any row that may be learned from, whatever
 its label. A linear model minimises the non-negative unbiased risk (Kiryo et al., 2017): with class
 prior ``p``, risk = p E_P[l(z)] + max(0, E_U[l(-z)] - p E_P[l(-z)]), l the logistic loss; where the
-second term falls below zero, the step goes up its gradient instead. The prior is the share of
-positives among labelled rows that may be learned from (or, where no label is 0, an Elkan-Noto
-estimate from a first fit with prior 1/2).
+second term falls below zero, the step goes up its gradient instead. The prior is estimated from
+positives and unlabelled rows alone (1/2 where there are fewer than four), no label 0 is read: a model fitted on one half of them scores the
+other half, and of all thresholds the one is taken whose ratio of unlabelled to positive rows above it
+is smallest with a margin for chance (best bin estimation, Garg et al., 2021); then the halves change
+places, and the mean of both counts. A prior may also be given.
 
 Features are of the whole text: shares of pairs of neighbouring byte classes, and shares that tell of
 repetition (distinct words, the most frequent word, equal neighbours, distinct runs of three words,
@@ -13,7 +15,9 @@ distinct lines), lengths of words and lines and of the text, and how all of it c
 language, identifier and labels are never features.
 
 The fit takes at most ``MAX_POSITIVE`` positives and ``MAX_UNLABELLED`` rows, those with the smallest
-hash of their identifier, so the sample is bounded at every size; everything else covers all rows.
+hash of their identifier (ties: the smallest identifier; of rows that share one, those whose features
+come first), so the sample is bounded at every size; everything else covers all rows. An identifier
+with both labels is a positive. Texts of any length are read whole, in time that grows with it.
 Null and empty texts have the same, defined features and get a score like any other. Rows that repeat
 an identifier get equal scores if their texts are equal. Where there is no positive to learn from,
 every score is 0.5. A null identifier is not learned from. Empty tables give empty results; other
@@ -94,6 +98,15 @@ class Model:
         return 1 / (1 + np.exp(-z.clip(-40, 40)))
 
 
+def gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """Where to step down from: the gradient of the risk, or, where its second term is below zero, of minus that term."""
+    zp, zu = p @ w, u @ w
+    sig = lambda z: 1 / (1 + np.exp(-z.clip(-40, 40)))
+    up = -prior * (p.T @ sig(-zp)) / len(p)  # of p E_P[l(z)]
+    down = (u.T @ sig(zu)) / len(u) - prior * (p.T @ sig(zp)) / len(p)
+    return up + down if np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean() >= 0 else -down
+
+
 def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 300, rate: float = 0.03, l2: float = 1e-3) -> Model:
     """Minimise the non-negative risk by Adam over whole batches."""
     mean, scale = unl.mean(0), unl.std(0) + 1e-3
@@ -101,24 +114,36 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 300, r
     w, b = np.zeros(p.shape[1] + 1, np.float32), np.float32(1e-8)
     m, v = np.zeros_like(w), np.zeros_like(w)
     p, u = (np.c_[x, np.ones(len(x), np.float32)] for x in (p, u))
-    sig = lambda z: 1 / (1 + np.exp(-z.clip(-40, 40)))
     for t in range(1, steps + 1):
-        zp, zu = p @ w, u @ w
-        down_u, down_p = np.logaddexp(0, zu).mean(), np.logaddexp(0, zp).mean()
-        grad_up = -prior * (p.T @ sig(-zp)) / len(p)  # of p E_P[l(z)]
-        grad_down = (u.T @ sig(zu)) / len(u) - prior * (p.T @ sig(zp)) / len(p)
-        g = grad_up + grad_down if down_u - prior * down_p >= 0 else -grad_down
+        g = gradient(w, p, u, prior)
         g = (g + l2 * np.r_[w[:-1], 0]).astype(np.float32)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + b)
     return Model(mean, scale, w[:-1].astype(np.float32), float(w[-1]), prior)
 
 
-def elkan_noto(pos: np.ndarray, unl: np.ndarray) -> float:
-    """A prior from positives and unlabelled rows alone: mean of f(u) / mean of f(p), f telling the two apart."""
-    model = fit_nnpu(pos, unl, 0.5)
-    s = model.score
-    return float(np.clip(s(unl).mean() / max(1e-6, s(pos).mean()), 0.05, 0.98))
+def risk(model: Model, pos: np.ndarray, unl: np.ndarray) -> float:
+    """The non-negative risk of a model, without the ridge."""
+    z = lambda x: ((x - model.mean) / model.scale).clip(-8, 8) @ model.weights + model.bias
+    up, down = np.logaddexp(0, -z(pos)).mean(), np.logaddexp(0, z(unl)).mean() - model.prior * np.logaddexp(0, z(pos)).mean()
+    return float(model.prior * up + max(0.0, down))
+
+
+def class_prior(pos: np.ndarray, unl: np.ndarray, delta: float = 0.1, margin: float = 0.01) -> float:
+    """The share of positives among unlabelled rows, from these and positives alone; rows in random order."""
+    if min(len(pos), len(unl)) < 4:
+        return 0.5
+    found = []
+    for k in (0, 1):
+        model = fit_nnpu(pos[k::2], unl[k::2], 0.5)
+        p, u = np.sort(model.score(pos[1 - k :: 2])), np.sort(model.score(unl[1 - k :: 2]))
+        at = np.unique(p)
+        above = lambda x: 1 - np.searchsorted(x, at) / len(x)  # noqa: E731, B023
+        qp, qu = above(p), above(u)
+        chance = np.sqrt(np.log(4 / delta) / (2 * len(u))) + np.sqrt(np.log(4 / delta) / (2 * len(p)))
+        best = int(np.argmin((qu + (1 + margin) * chance) / qp))
+        found.append(qu[best] / qp[best])
+    return float(np.clip(np.mean(found), 0.02, 0.98))
 
 
 def may_learn(id_col: str = "doc_id", folds: int = 3, held: int = 1) -> Column:
@@ -140,9 +165,6 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     """Fit on bounded samples; None where there is no positive."""
     ship(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(may_learn("doc_id") & F.col("y").isNotNull())
-    share = known.agg(F.avg("y"), F.min("y")).first()
-    if not share[0]:
-        return None
     order = F.xxhash64("doc_id")
     # The identifiers with the smallest hashes: a top-k in each task, then of those (no text moves).
     pos_ids = known.where("y = 1").select("doc_id").dropDuplicates().orderBy(order, "doc_id").limit(max_positive)
@@ -156,9 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     pos, unl = x[kind % 2 == 1], x[kind >= 2]
     if not len(pos) or not len(unl):
         return None
-    if prior is None:
-        prior = float(share[0]) if share[1] == 0 else elkan_noto(pos, unl)
-    return fit_nnpu(pos, unl, prior)
+    return fit_nnpu(pos, unl, class_prior(pos, unl) if prior is None else prior)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,6 +197,24 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows of ``docs``, all columns, whose score is ``threshold`` or more; rows go through one map and no shuffle."""
+    model = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # a few kilobytes
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
+                s = np.full(part.num_rows, 0.5) if m is None else m.score(np.array([features(t or "") for t in part.column(at).to_pylist()]))
+                yield part.filter(pa.array(s >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of each row."""
     out = score(docs, fit(docs, labels, **options), options.get("id_col", "doc_id"), options.get("text_col", "text"))
