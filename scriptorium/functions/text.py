@@ -233,9 +233,9 @@ def strip_outer_braces(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    """Words between white space, without front matter."""
-    body = trim_ws(F.regexp_replace(c, r"\A---\r?\n(?s:.*?)\r?\n---\r?\n?", ""))
-    return F.when(body == "", 0).otherwise(F.size(F.split(body, rf"{WS}+", -1)))
+    """Words between white space, without front matter; they are counted as they are found, not gathered."""
+    body = F.regexp_replace(c, r"\A---\r?\n(?s:.*?)\r?\n---\r?\n?", "")
+    return F.regexp_count(body, F.lit(f"[^{WS[1:-1]}]+"))
 
 
 def citation_key(surname: Column, year: Column, title: Column, form: str = "authorYearTitle") -> Column:

@@ -62,6 +62,11 @@ def front_matter(c: Column) -> Column:
     """``struct`` of the known keys of front matter; titles add up, the first bibliography stays, of other keys the last."""
     block = F.regexp_extract(c, _FRONT, 1)
     rows = F.transform(F.filter(F.split(block, "\n", -1), lambda x: x.contains(":")), lambda x: F.struct(T.trim_ws(F.substring_index(x, ":", 1)).alias("k"), F.regexp_replace(T.trim_ws(F.substr(x, F.instr(x, ":") + 1)), "^[\"']|[\"']$", "").alias("v")))
+    # The lines are bound to a variable, so that they are read once and not for each key.
+    return F.get(F.transform(F.array(rows), _known_keys), F.lit(0))
+
+
+def _known_keys(rows: Column) -> Column:
     of = lambda *k: F.transform(F.filter(rows, lambda r: r.k.isin(*k)), lambda r: r.v)
     last = lambda a: F.try_element_at(a, F.lit(-1))
     full = lambda a: F.filter(a, lambda v: v != "")
