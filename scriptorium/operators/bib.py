@@ -124,6 +124,25 @@ def resolve_paths(candidates: DataFrame, files: DataFrame, key: str = "doc_id")
     return candidates.join(files.select("path"), "path", "left_semi").groupBy(key).agg(F.min_by("path", "priority").alias("path"))
 
 
+def definitions(citations: DataFrame, paired: DataFrame, entries_: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``citations`` with the entry that each key means: that of the bibliography which its document is paired with.
+
+    ``paired`` has ``key, bib_id``; ``entries_`` has ``bib_id, entry`` and what is wanted of them.
+    """
+    return citations.join(paired, key).join(entries_.withColumnRenamed("entry", "key"), ["bib_id", "key"])
+
+
+def usages(citations: DataFrame, paired: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``bib_id, key, documents, times``: of each cited key of a bibliography the documents that cite it, in order, and how often."""
+    c = citations.join(paired, key).groupBy("bib_id", "key")
+    return c.agg(F.sort_array(F.collect_set(key)).alias("documents"), F.count("*").alias("times"))
+
+
+def affected(changed: DataFrame, paired: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Documents that have to be looked at again when bibliographies change (``bib_id``); either may be a stream."""
+    return paired.join(changed.select("bib_id").distinct() if not changed.isStreaming else changed.select("bib_id"), "bib_id").select(key).distinct()
+
+
 def key_table(items: DataFrame, order: str = "ord") -> DataFrame:
     """``item, key``: keys of distinct items in order of first appearance, told apart by 2, 3, ...
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from scriptorium.operators import bib
 from scriptorium.operators import documents as D
 from scriptorium.operators.threads import roots
-from scriptorium.plans.planted import SEGMENTS, segments
+from scriptorium.plans.planted import SEGMENTS, manuscripts, segments
+from scriptorium.plans.spans import _CITES, citations
 from scriptorium.session import table
 
 #: A bibliography per part size: one entry per part, every fifth one again with another title.
@@ -38,6 +39,25 @@ def bib_key_offsets(spark: SparkSession, d: str) -> DataFrame:
     return bib.key_offsets(bibliographies(spark, d)).groupBy("bib_id").agg(F.min("at").alias("first"), F.count("*").alias("n"))
 
 
+def _paired(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 50 + 1).alias("bib_id"))
+
+
+def citation_definitions(spark: SparkSession, d: str) -> DataFrame:
+    e = bib.parsed(bibliographies(spark, d)).select("bib_id", "entry", F.col("fields")["title"].alias("title"))
+    return bib.definitions(citations(manuscripts(spark, d)), _paired(spark, d), e).select("doc_id", "key", "key_start", "title")
+
+
+def bibliography_usages(spark: SparkSession, d: str) -> DataFrame:
+    u = bib.usages(citations(manuscripts(spark, d)), _paired(spark, d))
+    return u.select("bib_id", "key", F.array_join(F.col("documents").cast("array<string>"), ",").alias("documents"), "times")
+
+
+def affected_documents(spark: SparkSession, d: str) -> DataFrame:
+    changed = table(spark, d, "part").where("p_partkey % 40 = 1").select(F.col("p_size").cast("long").alias("bib_id"))
+    return bib.affected(changed, _paired(spark, d))
+
+
 def bib_serialize(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     f = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in (("title", F.concat("p_name", F.lit(" & 5%"))), ("doi", F.concat(F.lit("10.1/a_"), "p_partkey")))])
@@ -193,6 +213,10 @@ SQL = {
     "bib_parse": "SELECT CAST(p_size AS BIGINT) AS bib_id, 'p' || p_partkey AS entry, CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 1 END AS times, 'article' AS type, p_brand || ' and {Sons, Inc}' AS author, '50% off' AS note FROM part",
     "bib_last_wins": "SELECT CAST(p_size AS BIGINT) AS bib_id, 'p' || p_partkey AS entry, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS place, p_name || CASE WHEN p_partkey % 5 = 0 THEN ' again' ELSE '' END AS title, 'J. of ' || p_type AS journal, '' || (1900 + p_size) AS year FROM part",
     "bib_key_offsets": "SELECT CAST(p_size AS BIGINT) AS bib_id, 9 AS first, count(*) AS n FROM part GROUP BY 1",
+    "citation_definitions": _S + _CITES + """ SELECT c.doc_id, c.key, c.key_start, p_name || CASE WHEN p_partkey % 5 = 0 THEN ' again' ELSE '' END AS title
+        FROM c JOIN orders ON o_orderkey = c.doc_id JOIN part ON 'p' || p_partkey = c.key AND p_size = c.doc_id % 50 + 1""",
+    "bibliography_usages": _S + _CITES + """ SELECT doc_id % 50 + 1 AS bib_id, key, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS documents, count(*) AS times FROM c JOIN orders ON o_orderkey = doc_id GROUP BY ALL""",
+    "affected_documents": "SELECT o_orderkey AS doc_id FROM orders WHERE o_orderkey % 50 + 1 IN (SELECT p_size FROM part WHERE p_partkey % 40 = 1)",
     "bib_serialize": "SELECT p_partkey, concat('@article{p', p_partkey, ',', chr(10), '  title = {', p_name, ' \\& 5\\%},', chr(10), '  doi = {10.1/a_', p_partkey, '}', chr(10), '}') AS out FROM part",
     "csl_item": """SELECT p_partkey, concat('{"type":"', CASE WHEN p_partkey % 4 = 0 THEN 'thesis","genre":"PhD thesis' ELSE 'article-journal' END, '","title":"', p_name, '","author":[{"literal":"', p_brand, '"}],',
         CASE WHEN p_partkey % 2 = 0 THEN '"issued":{"date-parts":[[' || (1900 + p_size) || ']]},' ELSE '' END, '"container-title":"', CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE 'Proc.' END, '","page":"', p_size, '"}') AS item FROM part""",

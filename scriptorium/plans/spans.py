@@ -75,6 +75,11 @@ def nav_matches(spark: SparkSession, d: str) -> DataFrame:
     return navigation(manuscripts(spark, d))
 
 
+def syntax_scopes(spark: SparkSession, d: str) -> DataFrame:
+    found = scan.rows_from(manuscripts(spark, d), scan.scopes, "scope string, start long, end long", only_if=r"[{\[]|==")
+    return found.groupBy("scope").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
+
+
 def nav_next_prev(spark: SparkSession, d: str) -> DataFrame:
     return around(nav_matches(spark, d), F.lit(30))
 
@@ -203,6 +208,8 @@ SQL = {
         UNION ALL SELECT 'highlight:' || CASE color WHEN 'nocolor' THEN 'yellow' ELSE color END, s FROM segs WHERE kind = 4)
         SELECT kind, count(*) AS n, CAST(sum(s) AS BIGINT) AS starts FROM k GROUP BY 1""",
     "code_regions": _S + ' SELECT doc_id, s AS start, s + length(seg) AS "end" FROM segs WHERE kind = 6',
+    "syntax_scopes": _S + """ SELECT CASE kind WHEN 0 THEN 'addition' WHEN 1 THEN 'deletion' WHEN 2 THEN 'substitution' WHEN 3 THEN 'comment' WHEN 4 THEN 'coloured_highlight' ELSE 'citations' END AS scope,
+        count(*) AS n, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(s + length(seg)) AS BIGINT) AS ends FROM segs WHERE kind < 6 GROUP BY 1""",
     "nav_matches": _S + _NAV + " SELECT * FROM nav",
     "nav_next_prev": _S + _NAV + """ SELECT doc_id, coalesce(min(start) FILTER (start > 30), min(start)) AS next_start, coalesce(max(start) FILTER (start < 30), max(start)) AS prev_start FROM nav GROUP BY doc_id""",
     "citation_usages": _S + _CITES + " SELECT doc_id, key, key_start, key_end FROM c",
