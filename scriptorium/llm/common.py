@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -10,7 +11,11 @@ from pyspark.sql import functions as F
 
 from scriptorium.session import ship, table
 
-__all__ = ["blobs_in", "blobs_out", "cut", "remove", "ship", "table", "text_of", "work_dir"]
+__all__ = ["blobs_in", "blobs_out", "cut", "free_name", "remove", "ship", "table", "text_of", "work_dir"]
+
+
+#: Folders that ``cut`` wrote and nothing has removed yet.
+_left: set[str] = set()
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -30,9 +35,16 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: a lost executor costs no recomputation."""
+    """``df`` written to the shared folder and read again: a lost executor costs no recomputation.
+
+    A result may be read long after its query was built, so what ``remove`` has not deleted goes when
+    the application ends.
+    """
     spark = df.sparkSession
     path = work_dir(spark, name)
+    if not _left:
+        atexit.register(lambda: [remove(p) for p in list(_left)])
+    _left.add(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scriptorium_path = path
@@ -43,10 +55,19 @@ def remove(df: DataFrame | str) -> None:
     """Delete what ``cut`` or ``blobs_out`` wrote."""
     spark = SparkSession.getActiveSession()
     path = df if isinstance(df, str) else getattr(df, "_scriptorium_path", None)
-    if path and spark:
+    if path and spark and spark.sparkContext._jsc is not None:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _left.discard(path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or one made from it that no column of ``df`` has (names are told apart without regard to case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_of(c: str | Column) -> Column:
