@@ -2,7 +2,9 @@
 
 An archive is a file of gzip members, one a record, padded with one zero byte at its end, which gzip
 readers skip. A record is ``WARC/1.1`` with an HTTP response as its block. Archives are cut at
-``ARCHIVE_BYTES`` of records before compression, so that one task can hold one.
+``ARCHIVE_BYTES`` of records before compression, so that one task can hold one; a record of more is an
+archive of its own (a string of Spark has 2 GB at most, and a file that Spark reads whole as well, so a
+page may have some 1 GB). A record's date is that of a column, if one is named, else the one given.
 
 Resolution: the headers of all records (no payloads) are shuffled by payload digest; of equal digests
 and lengths of at least ``min_bytes`` the record with the largest row identifier (null last, then the
@@ -109,18 +111,21 @@ def _payload_bytes(http: bytes) -> int:
     return int(re.search(rb"(?i)\r\nContent-Length: (\d+)", http)[1])
 
 
-def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z", level: int = 3) -> str:
-    """Write a response record per row; the folder's path is returned."""
+def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z", date_col: str | None = None, level: int = 3) -> str:
+    """Write a response record per row; the folder's path is returned.
+
+    ``date_col`` names a column of time stamps; a null one has the date given as ``date``.
+    """
     spark = pages.sparkSession
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
         for b in batches:
-            for row_id, url, html in zip(*(c.to_pylist() for c in b.columns)):
+            for row_id, url, html, when in zip(*(c.to_pylist() for c in b.columns)):
                 payload = html.encode("utf-8", "surrogatepass")
                 record_id = uuid.uuid5(_SPACE, f"{part}/{n}/{row_id}").urn
-                data = record("response", record_id, date, _address(url), row_id, digest_of(payload), payload, len(payload))
+                data = record("response", record_id, when, _address(url), row_id, digest_of(payload), payload, len(payload))
                 held.append(member(data, level))
                 n, size = n + 1, size + len(data)
                 if size >= ARCHIVE_BYTES:
@@ -129,7 +134,8 @@ def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "pag
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["blob"])
 
-    rows = pages.select(F.col(id_col).cast("long").alias("row_id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("html"))
+    when = F.lit(date) if date_col is None else F.coalesce(F.date_format(F.to_utc_timestamp(F.col(date_col), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(date))
+    rows = pages.select(F.col(id_col).cast("long").alias("row_id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("html"), when.alias("date"))
     return blobs_out(rows.mapInArrow(run, "blob binary"), "blob", path or work_dir(spark, "warc"), "\0")
 
 
