@@ -9,8 +9,9 @@ result can be had from two pairs and occurs twice in a match. Such a token has t
 a match without a repeated run of three bytes is safe; the ids of any other distinct match are checked
 against merging by rank, and it takes the ids of the latter.
 
-Texts are cut before every space that a non-space follows, which is always a boundary of the
-pattern's matches; distinct cuts are encoded once and remembered in each worker within bounds.
+Texts are cut before every space that a non-space follows and between a word and a sign that ends it,
+which are always boundaries of the pattern's matches; distinct cuts, found by Arrow, are encoded once and remembered in each worker within
+bounds. A text of any length is one row; one without spaces is one cut.
 Decoding goes back from characters to bytes by the reversed table; a character whose bytes lie in two
 tokens comes out whole where tokens are joined before bytes become text, and a text of ids that ends
 within a character is decoded with U+FFFD for it.
@@ -27,16 +28,18 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, text_of
-from .pieces import WHITE, Memo, slices
+from .pieces import WHITE, Memo, by_word, byte_slices
 
 MAX_VOCABULARY_BYTES = 64_000_000
 
@@ -51,34 +54,56 @@ def byte_chars() -> list[str]:
     return out
 
 
+def _repeating(raw: bytes, ends: np.ndarray) -> np.ndarray:
+    """Which of the pieces that end at ``ends`` have a run of three bytes twice."""
+    if len(raw) < 4:
+        return np.zeros(0, np.int64)
+    b = np.frombuffer(raw, np.uint8).astype(np.int64)
+    piece = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    runs = (piece[:-2] << 24 | b[:-2] << 16 | b[1:-1] << 8 | b[2:])[piece[:-2] == piece[2:]]
+    runs.sort()
+    return np.unique(runs[1:][runs[1:] == runs[:-1]] >> 24)
+
+
 class ByteBPE:
     """Encoder and decoder of one rank file."""
 
     def __init__(self, rank_file: bytes, pattern: str) -> None:
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines())}
         self.chars = byte_chars()
+        self.latin = dict(enumerate(self.chars))
         self.to_byte = {c: b for b, c in enumerate(self.chars)}
-        shown = {t: "".join([self.chars[b] for b in t]) for t in self.ranks}
+        shown = {t: self._shown(t) for t in self.ranks}
         merges = [(shown[t[:k]], shown[t[k:]]) for t in sorted(self.ranks, key=self.ranks.get) for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         self.tokenizer = Tokenizer(BPE({shown[t]: r for t, r in self.ranks.items()}, merges, ignore_merges=True, cache_capacity=0))
+        self.tokenizer.pre_tokenizer = WhitespaceSplit()  # byte characters are no white space
         self.table: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
         for t, r in self.ranks.items():
             self.table[r] = bytes(self.to_byte[c] for c in shown[t])
+        self.sizes = np.array([len(t) for t in self.table])
         white = f"[{WHITE}]"
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", white))
         self.cut = regex.compile(f" (?=[^{WHITE}])")
         self.gap = re.compile(r" \s")
-        self.memo = Memo(self._cuts)
-        self.matches = Memo(self._matches, limit=150_000)
+        self.memo = Memo(self._cuts, limit=500_000)
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of one match, merging by rank, leftmost first among equals."""
         if piece in self.ranks:
             return [self.ranks[piece]]
-        n, ranks = len(piece), self.ranks
+        n, ranks, n_ranks = len(piece), self.ranks, len(self.table)
+        if n <= 32:
+            parts = [piece[i : i + 1] for i in range(n)]
+            while len(parts) > 1:
+                least, at = min([(ranks.get(a + b, n_ranks), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))])
+                if least == n_ranks:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            return [ranks[p] for p in parts]
         end, left = list(range(1, n + 1)), list(range(-1, n))
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
         heapq.heapify(heap)
@@ -97,20 +122,33 @@ class ByteBPE:
                 heapq.heappush(heap, (r, h, e))
         return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
-    def _matches(self, pieces: list[str]) -> list[list[int]]:
-        raw = [p.encode() for p in pieces]
-        shown = ["".join([self.chars[b] for b in p]) for p in raw]
-        out = []
-        for p, e in zip(raw, self.tokenizer.encode_batch_fast(shown, add_special_tokens=False)):
-            ids = e.ids
-            safe = len(ids) < 2 or len({p[i : i + 3] for i in range(len(p) - 2)}) >= len(p) - 2
-            out.append(ids if safe or ids == (exact := self.merged(p)) else exact)
+    def _shown(self, piece: bytes) -> str:
+        return piece.decode("latin-1").translate(self.latin)
+
+    def _matches(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece; tokens of all of them come in one list, and their bytes tell where a piece ends."""
+        if not pieces:
+            return []
+        made = pa.array(pieces, pa.string())
+        ends = np.frombuffer(made.buffers()[1], np.int32)[1 : len(pieces) + 1].astype(np.int64)
+        raw = made.buffers()[2].to_pybytes()[: ends[-1]]
+        shown, bounds = self._shown(raw), [0, *ends.tolist()]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join([shown[a:b] for a, b in zip(bounds, bounds[1:])])], add_special_tokens=False)[0].ids, "<u4")
+        last = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
+        coded, cuts = ids.tobytes(), [0, *(4 * last).tolist()]
+        out = [coded[a:b] for a, b in zip(cuts, cuts[1:])]
+        for i in np.intersect1d(_repeating(raw, ends), np.flatnonzero(np.diff(last, prepend=0) > 1)).tolist():
+            out[i] = np.array(self.merged(raw[bounds[i] : bounds[i + 1]]), "<u4").tobytes()
         return out
 
     def _cuts(self, cuts: list[str]) -> list[bytes]:
-        found = [self.pattern.findall(c) for c in cuts]
-        known = self.matches.learn({p for x in found for p in x})
-        return [np.array([i for p in x for i in known[p]], "<u4").tobytes() for x in found]
+        """Words of letters, with or without a space before them, and single signs are matches of the pattern;
+        it finds those of others."""
+        simple = pc.match_substring_regex(pa.array(cuts, pa.string()), "^(?: ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?])$").to_pylist()
+        found = [(c,) if x else self.pattern.findall(c) for c, x in zip(cuts, simple)]
+        parts = list(set(chain.from_iterable(found)))
+        known = dict(zip(parts, self._matches(parts))).__getitem__
+        return [known(f[0]) if len(f) == 1 else b"".join(map(known, f)) for f in found]
 
     def cuts_of(self, text: str) -> list[str]:
         """Parts of ``text``, each but the first with the space before it."""
@@ -120,11 +158,27 @@ class ByteBPE:
             return self.cut.sub("\0 ", text).split("\0")
         return text.replace(" ", "\0 ").split("\0")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Of each text its ids as little-endian unsigned 32-bit integers."""
-        parts = [self.cuts_of(t) if t else [] for t in texts]
-        known = self.memo.learn(set().union(*parts)).__getitem__
-        return [b"".join(map(known, p)) for p in parts]
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Of each text its ids as little-endian unsigned 32-bit integers.
+
+        Cuts stand before spaces, and between a word and a sign that ends it. Texts in which white space
+        follows a space are cut one by one.
+        """
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if not len(texts):
+            return []
+        cut = pc.replace_substring(texts, " ", "\0 ")
+        cut = pc.replace_substring_regex(cut, "([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?])(\0|$)", "\\1\0\\2\\3")
+        odd = pc.or_(pc.match_substring(texts, "\0"), pc.match_substring_regex(texts, f" (?:[{WHITE}]|$)"))
+        lists = pc.split_pattern(cut, "\0")
+        ends, ids = by_word(lists.flatten(), self.memo.learn)
+        raw, cuts = ids.tobytes(), (4 * ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]).tolist()
+        out = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        alone = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        for i in alone:
+            parts = self.cuts_of(texts[i].as_py())
+            out[i] = b"".join(map(self.memo.learn(set(parts)).__getitem__, parts))
+        return out
 
     def decode(self, ids: bytes | np.ndarray) -> bytes:
         """The bytes of ids."""
@@ -170,9 +224,8 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, pattern: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(sent.value, pattern)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo, hi in slices(texts):
-                coded = bpe.encode(texts[lo:hi])
+            for lo, hi in byte_slices(b.column(1)):
+                coded = bpe.encode(b.column(1).slice(lo, hi - lo))
                 cols = [b.column(0).slice(lo, hi - lo), pa.array([len(x) // 4 for x in coded], pa.int64())]
                 cols += [pa.array(coded, pa.binary())] if ids else []
                 cols += [pa.array([hashlib.sha256(x).hexdigest() for x in coded]), pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in coded])]

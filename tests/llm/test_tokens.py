@@ -1,17 +1,20 @@
 import base64
 import hashlib
+import os
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from tokenizers import Tokenizer, models
 
 from scriptorium.llm import byte_bpe, token_files, unigram_counts
 
+SF = "/root/testdata/sf0.001"
 ODD = ["", " ", "  a", "a ", "\n\n x", "a" * 3000, "aaab" * 40, "é漢字😀", "\x00\x1c\x85\xa0", "don't 'st", "<|endoftext|>", "é İ ΑΣ ", "_a_ ._x", "12 345"]
 
 
@@ -53,6 +56,7 @@ def test_encode_and_decode_documents(spark):
     for r in got:
         t = {1: "a b", None: "", 2: "漢" * 2000}[r.doc_id]
         assert r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() and r.ids_sha256 == hashlib.sha256(r.ids).hexdigest() and r.n_tokens == len(r.ids) // 4
+    assert byte_bpe.encode_documents(df.limit(0)).collect() == []
     back = byte_bpe.decode_documents(byte_bpe.encode_documents(df))
     assert {r.text for r in back.collect()} == {"a b", "", "漢" * 2000}
 
@@ -128,6 +132,13 @@ def test_unigram_counts_against_the_library(spark):
         texts = odd_texts(300, letters)
         for t, (n, _) in zip(texts, ours.count(texts)):
             assert n == (len(lib.encode("▁" + t.replace(" ", "▁"), add_special_tokens=False).ids) if t else 0), t
+    if os.path.exists(SF):
+        table = pq.read_table(f"{SF}/documents.parquet", columns=["text"])["text"].to_pylist()
+        lib, ours = Tokenizer(models.Unigram([(p, s) for p, s, _ in vocabulary], unk_id=0, byte_fallback=True)), unigram_counts.UnigramCounter(vocabulary)
+        for t, (n, _) in zip(table, ours.count([x or "" for x in table])):
+            assert n == (len(lib.encode("▁" + t.replace(" ", "▁"), add_special_tokens=False).ids) if t else 0)
+    clash = spark.createDataFrame([(1, "the a", 5, 6.0)], "doc_id long, text string, n_tokens long, score double")
+    assert unigram_counts.count_tokens(clash).count() == 1 and unigram_counts.count_tokens(clash.limit(0)).collect() == []
     got = unigram_counts.count_tokens(spark.createDataFrame([(1, None), (2, "the a"), (2, "the a")], "doc_id long, text string")).collect()
     lib = Tokenizer(models.Unigram([(p, s) for p, s, _ in vocabulary], unk_id=0, byte_fallback=True))
     n = len(lib.encode("▁the▁a", add_special_tokens=False).ids)
