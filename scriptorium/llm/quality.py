@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     ids = pos_ids.select("doc_id", F.lit(1).alias("kind")).unionByName(unl_ids.select("doc_id", F.lit(0).alias("kind"))).groupBy("doc_id").agg(F.sum(F.when(F.col("kind") == 1, 1).otherwise(2)).alias("kind"))
     # At most max_positive + max_unlabelled rows of two numbers: a bounded broadcast.
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).join(F.broadcast(ids), "doc_id").select(F.struct("kind", "doc_id").alias("k"), "text")
-    got = _features_of(rows, "k struct<kind:bigint,doc_id:bigint>").orderBy("k").limit(2 * (max_positive + max_unlabelled)).collect()
+    got = _features_of(rows, "k struct<kind:bigint,doc_id:bigint>").orderBy("k", "x").limit(2 * (max_positive + max_unlabelled)).collect()
     x = np.frombuffer(b"".join(r.x for r in got), np.float32).reshape(-1, N_FEATURES)
     kind = np.array([r.k.kind for r in got])
     pos, unl = x[kind % 2 == 1], x[kind >= 2]
