@@ -1,6 +1,7 @@
 import datetime as dt
 
-from scriptorium.functions import sql
+from scriptorium.functions import offsets, sql
+from scriptorium.operators import bib
 from scriptorium.sources import files
 from scriptorium.streaming import edits
 
@@ -61,3 +62,20 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT strip_marks('a {++b++} {>>c<<}') AS x").first().x == "a b"
     rows = spark.sql("SELECT t.id, r.start, r.end FROM VALUES (1, 'a `b` c') t(id, x), LATERAL code_regions(x) r").collect()
     assert [(r.id, r.start, r.end) for r in rows] == [(1, 2, 5)]
+
+
+def test_silence_of_each_feature_ends_a_burst(spark):
+    t = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(1, t + dt.timedelta(milliseconds=n), str(n)) for n in (0, 140, 400, 850, 1400)], "doc_id long, ts timestamp, text string")
+    last = {k: sorted(r.text for r in edits.bursts(df, gap=f"{ms} milliseconds").collect()) for k, ms in edits.DEBOUNCE_MS.items()}
+    assert last == {"validation": ["1400", "400", "850"], "word_count": ["1400", "850"], "decorations": ["140", "1400", "400", "850"]}
+
+
+def test_spans_in_regions_and_documents_to_look_at_again(spark):
+    spans = spark.createDataFrame([(1, 0, 3), (1, 3, 5), (1, 9, 12), (2, 0, 3)], "doc_id long, start long, end long")
+    regions = spark.createDataFrame([(1, 4, 10)], "doc_id long, start long, end long")
+    inside, outside = ({(r.doc_id, r.start) for r in offsets.covered(spans, regions, how=h).collect()} for h in ("left_semi", "left_anti"))
+    assert inside == {(1, 3), (1, 9)} and outside == {(1, 0), (2, 0)}
+    paired = spark.createDataFrame([(1, "a.bib"), (2, "b.bib"), (3, "a.bib")], "doc_id long, bib_id string")
+    changed = spark.createDataFrame([("a.bib",), ("a.bib",), ("c.bib",)], "bib_id string")
+    assert sorted(r.doc_id for r in bib.affected(changed, paired).collect()) == [1, 3]
