@@ -53,7 +53,6 @@ from .common import cut, remove, ship, text_of
 #: A comment, a tag, or another declaration, each up to the end of the page if nothing ends it.
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|(?!["'])))*+)(?:>|\Z)|<[!/?][^>]*+(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']+)))?""")
-_SPACE = re.compile(r"\s+")
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes template xmp svg math object canvas audio video".split())
@@ -135,14 +134,15 @@ class Page:
         def close() -> None:
             nonlocal linked
             if text:
-                block = _SPACE.sub(" ", _html.unescape("".join(text))).strip()
+                block = " ".join(_html.unescape("".join(text)).split())
                 if block:
                     self.blocks.append((stack[-1][1], block, min(linked, len(block))))
                 text.clear()
                 linked = 0
 
         def cut_off(k: int) -> None:
-            opened.subtract([x[0] for x in stack[k:]])
+            for x in stack[k:]:
+                opened[x[0]] -= 1
             del stack[k:]
 
         for m in _TOKEN.finditer(source):
@@ -174,8 +174,10 @@ class Page:
                                 cut_off(k)
                             elif stack[k][0] in holders:
                                 break
-                    if any(x[0] == "p" for x in stack[-2:]):  # a block ends an open paragraph
-                        cut_off(len(stack) - (1 if stack[-1][0] == "p" else 2))
+                    if stack[-1][0] == "p":  # a block ends an open paragraph
+                        cut_off(len(stack) - 1)
+                    elif len(stack) > 1 and stack[-2][0] == "p":
+                        cut_off(len(stack) - 2)
                     node = self._add(tag, m[3], stack[-1][1])
                     if tag not in VOID:
                         stack.append((tag, node))
@@ -306,9 +308,9 @@ class Matcher:
 
     def _block(self, ca, cb, ha: np.ndarray | None = None, hb: np.ndarray | None = None):
         """Rows and columns of the children's values, made as they are asked for; equal text (``ha``, ``hb``) settles ties."""
-        ua, ia = np.unique(np.array(ca), return_inverse=True)
-        ub, ib = np.unique(np.array(cb), return_inverse=True)
-        table = np.array([[self._known(x, y) if self._known(x, y) is not None else self.value(x, y) for y in ub.tolist()] for x in ua.tolist()])
+        ua, ub = ({x: i for i, x in enumerate(dict.fromkeys(c))} for c in (ca, cb))
+        ia, ib = (np.array([u[x] for x in c]) for u, c in ((ua, ca), (ub, cb)))
+        table = np.array([[self.value(x, y) if (v := self._known(x, y)) is None else v for y in ub] for x in ua])
 
         def block(i: slice, j: slice) -> np.ndarray:
             w = table[ia[i, None], ib[j]]
@@ -331,6 +333,11 @@ class Matcher:
             todo += zip(ca[:first], cb[:first])
             todo += zip(ca[len(ca) - last :], cb[len(cb) - last :])
             ca, cb = ca[first : len(ca) - last], cb[first : len(cb) - last]
+            if ca and cb and not set(sa[first : len(sa) - last]).intersection(sb[first : len(sb) - last]):
+                first, last = _equal_ends([a.shape[i] for i in ca], [b.shape[j] for j in cb])  # no equal text to settle ties by
+                todo += zip(ca[:first], cb[:first])
+                todo += zip(ca[len(ca) - last :], cb[len(cb) - last :])
+                ca, cb = ca[first : len(ca) - last], cb[first : len(cb) - last]
             if ca and cb:
                 block = self._block([a.shape[i] for i in ca], [b.shape[j] for j in cb], a.hash[ca], b.hash[cb])
                 todo += [(ca[i], cb[j]) for i, j in _alignment(block, 0, len(ca), 0, len(cb)) if a.key[ca[i]] == b.key[cb[j]]]

@@ -106,7 +106,8 @@ def neutral(i, n):
     return source, "\n".join([head, *story])
 
 
-def test_the_alignment_alone_finds_the_story(spark):
+def test_the_alignment_alone_finds_the_story(spark, monkeypatch):
+    monkeypatch.setattr(H, "SALT_PAGES", 6)  # each host in several parts where wrappers are not broadcast
     made = {i: neutral(i, 3 + i % 9) for i in range(60)}
     rows = [(i, f"http://{'abc'[i % 3]}.example/{i}", s, "") for i, (s, _) in made.items()]
     for kw in ({"names": False}, {}, {"max_broadcast": 0}):
