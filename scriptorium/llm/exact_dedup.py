@@ -25,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship, text_of
+from .common import cut, free_name, remove, ship, text_of
+
+MAX_BROADCAST = 200_000
 
 _RUN = "owner long, sha binary, bytes long, keep long, rows long"
 
@@ -96,6 +98,12 @@ def merge_tree(runs: DataFrame, keep: str = "max", fan_in: int = 16, rounds: int
     return df.select("sha", "bytes", "keep", "rows")
 
 
+def _digests(docs: DataFrame, id_col: str, text_col: str, normalise) -> DataFrame:
+    text = text_of(text_col)
+    raw = (normalise(text) if normalise else text).cast("binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(raw, 256)).alias("sha"), F.octet_length(raw).cast("long").alias("bytes"))
+
+
 def exact_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -110,12 +118,27 @@ def exact_duplicates(
     ``normalise`` takes and returns a string column. See the module for how ties, nulls and repeated
     rows come out.
     """
-    text = text_of(text_col)
-    text = normalise(text) if normalise else text
-    raw = text.cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(raw, 256)).alias("sha"), F.octet_length(raw).cast("long").alias("bytes"))
-    rows = cut(rows, "exact-digests")  # the texts are read once
+    rows = cut(_digests(docs, id_col, text_col, normalise), "exact-digests")  # the texts are read once
     groups = merge_tree(rows.select("sha", "bytes", F.col("doc_id").alias("keep"), F.lit(1).cast("long").alias("rows")), keep, fan_in, rounds)
     groups = groups.select(F.col("sha").alias("g_sha"), F.col("bytes").alias("g_bytes"), F.col("keep").alias("keep_id"), F.col("rows").alias("group_size"))
     out = rows.join(groups, (F.col("sha") == F.col("g_sha")) & (F.col("bytes") == F.col("g_bytes")))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", normalise=None, fan_in: int = 16, rounds: int | None = None, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """Rows of ``docs``, all columns: one of each group of equal texts.
+
+    Only groups of two rows or more are sent to the rows (broadcast up to ``max_broadcast`` of them), and
+    only the rows that stay of such groups are shuffled, as several of them may have one identifier.
+    """
+    rows = cut(_digests(docs, id_col, text_col, normalise), "exact-digests")
+    groups = merge_tree(rows.select("sha", "bytes", F.col("doc_id").alias("keep"), F.lit(1).cast("long").alias("rows")), keep, fan_in, rounds)
+    sha, stays = (free_name(docs, n) for n in ("sha_of_text", "id_that_stays"))
+    groups = cut(groups.where("rows > 1").select(F.col("sha").alias(sha), F.col("keep").alias(stays)), "exact-groups")
+    remove(rows)
+    groups = F.broadcast(groups) if groups.count() <= max_broadcast else groups
+    text = text_of(text_col)
+    told = docs.withColumn(sha, F.unhex(F.sha2((normalise(text) if normalise else text).cast("binary"), 256)))
+    alone = told.join(groups, sha, "left_anti")
+    kept = told.join(groups, sha).where(F.col(id_col).cast("long").eqNullSafe(F.col(stays))).drop(stays).dropDuplicates([sha])
+    return alone.unionByName(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
