@@ -89,7 +89,7 @@ class ByteBPE:
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", white))
         self.cut = regex.compile(f" (?=[^{WHITE}])")
         self.gap = re.compile(r" \s")
-        self.memo = Memo(self._cuts, limit=500_000)
+        self.memo = Memo(self._cuts, limit=250_000)
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of one match, merging by rank, leftmost first among equals."""
@@ -224,7 +224,7 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, pattern: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(sent.value, pattern)
         for b in batches:
-            for lo, hi in byte_slices(b.column(1)):
+            for lo, hi in byte_slices(b.column(1), 4_000_000):
                 coded = bpe.encode(b.column(1).slice(lo, hi - lo))
                 cols = [b.column(0).slice(lo, hi - lo), pa.array([len(x) // 4 for x in coded], pa.int64())]
                 cols += [pa.array(coded, pa.binary())] if ids else []
