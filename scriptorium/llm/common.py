@@ -34,8 +34,8 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: a lost executor costs no recomputation.
+def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder (in folders by column ``by``) and read again: a lost executor costs no recomputation.
 
     A result may be read long after its query was built, so what ``remove`` has not deleted goes when
     the application ends.
@@ -45,7 +45,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     if not _left:
         atexit.register(lambda: [remove(p) for p in list(_left)])
     _left.add(path)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scriptorium_path = path
     return out

@@ -12,8 +12,11 @@ from .common import table
 from .decontaminate import contained_items
 from .exact_dedup import exact_duplicates
 from .html_text import main_text
+from .line_runs import without_frequent_lines
 from .quality import classify
 from .simhash import near_duplicates
+from .spelling import variants
+from .tiered_search import rank_documents
 from .token_files import token_files
 from .toxicity import classify as classify_toxic
 from .unigram_counts import count_tokens
@@ -62,6 +65,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), ids=False)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents"))
+
+
+def op12_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = without_frequent_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 _SQL = {
     "op1_decontaminate": r"""
         WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
@@ -79,6 +95,23 @@ _SQL = {
              g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.h AS text_sha256
         FROM d JOIN g USING (h)""",
+    "op12_tiered_search": r"""
+        WITH dt AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\x{80}-\x{10FFFF}]+'), lambda x: x <> '') AS w FROM documents),
+             it AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\x{80}-\x{10FFFF}]+')) AS t FROM benchmark),
+             s AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM dt WHERE len(w) > 0),
+             tf AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM dt) GROUP BY ALL),
+             wt AS (SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM tf WHERE t IN (SELECT t FROM it) GROUP BY t), s),
+             sc AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+                    FROM tf JOIN wt USING (t) JOIN it USING (t), s GROUP BY ALL),
+             ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r)::INT AS rank FROM sc WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "op13_line_runs": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+             l AS (SELECT r, i, lines[i] AS line, translate(trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+                   FROM (SELECT r, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+             f AS (SELECT k FROM l WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT r) >= 10),
+             o AS (SELECT r, count(*) FILTER (WHERE f.k IS NOT NULL) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.k IS NULL), '') AS kept FROM l LEFT JOIN f USING (k) GROUP BY r)
+        SELECT doc_id, len(lines) AS n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM d JOIN o USING (r)""",
 }
 
 
