@@ -1,10 +1,16 @@
-"""Matches of a pattern with their offsets, by built-in functions."""
+"""Matches of a pattern with their offsets, ranges that overlap, and places in ranges."""
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.session import ship
+
 
 def matches(df: DataFrame, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, no, start, end, match`` of each match of a pattern that matches no empty text; 0-based, in code points.
@@ -20,26 +26,105 @@ def matches(df: DataFrame, pattern: str, key: str = "doc_id", text: str = "text"
     return rows.select(key, "no", (end - F.length("x.m")).cast("long").alias("start"), end.cast("long").alias("end"), F.col("x.m").alias("match"))
 
 
-def covered(spans: DataFrame, regions: DataFrame, key: str = "doc_id", how: str = "left_anti") -> DataFrame:
-    """Spans that overlap no region (``left_anti``) or some region (``left_semi``)."""
-    r = regions.select(F.col(key).alias("__k"), F.col("start").alias("__s"), F.col("end").alias("__e"))
-    return spans.join(r, (F.col(key) == F.col("__k")) & (F.col("start") < F.col("__e")) & (F.col("__s") < F.col("end")), how)
+#: Code points of a document that meet in one task; what reaches over an end is carried on.
+BIN = 65_536
+
+
+def _carried(rows: DataFrame, key: str, order: list[str], value: Column, bin_of: Column) -> tuple[DataFrame, Column]:
+    """``rows`` with ``__bin``, and the largest ``value`` of a row or of any before it in its document.
+
+    Rows of a bin meet in a window of their own; of the bins before only their largest values do.
+    """
+    rows = rows.withColumn("__bin", bin_of)
+    each = Window.partitionBy(key).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(key, "__bin").agg(F.max(value).alias("__v")).select(F.col(key).alias("__k"), F.col("__bin").alias("__b"), F.max("__v").over(each.partitionBy(key)).alias("__before"))
+    both = rows.join(before, F.col(key).eqNullSafe(F.col("__k")) & F.col("__bin").eqNullSafe(F.col("__b"))).drop("__k", "__b")
+    own = F.max(value).over(Window.partitionBy(key, "__bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return both, F.greatest(own, "__before")
+
+
+def at_places(places: DataFrame, ranges: DataFrame, key: str = "doc_id", place: str = "place", width: int = BIN) -> DataFrame:
+    """``places`` with the columns of the range that each lies in; ``ranges`` (``key, start, end`` and others) share no place in a document.
+
+    An as-of join: places and starts are ordered together, and each place takes the last start before it or at it. A document
+    is cut into bins of ``width``; the last start of a bin is carried into the next.
+    """
+    others = [c for c in ranges.columns if c not in (key, "start", "end")]
+    r = ranges.select(F.col(key), F.col("start").alias("__at"), F.lit(0).alias("__kind"), F.struct("start", "end", *others).alias("__r"), F.lit(None).cast(dict(places.dtypes)[place]).alias(place), *[F.lit(None).cast(t).alias(f"__p_{c}") for c, t in places.dtypes if c not in (key, place)])
+    p = places.select(F.col(key), F.col(place).cast("long").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(r.schema["__r"].dataType).alias("__r"), F.col(place), *[F.col(c).alias(f"__p_{c}") for c in places.columns if c not in (key, place)])
+    rows, last = _carried(r.unionByName(p), key, ["__at", "__kind"], F.col("__r"), F.floor(F.col("__at") / width))
+    found = rows.withColumn("__r", last).where((F.col("__kind") == 1) & (F.col("__at") < F.col("__r.end")))
+    return found.select(key, place, *[F.col(f"__p_{c}").alias(c) for c in places.columns if c not in (key, place)], "__r.start", "__r.end", *[F.col(f"__r.{c}").alias(c) for c in others])
+
+
+def covered(spans: DataFrame, regions: DataFrame, key: str = "doc_id", how: str = "left_anti", width: int = BIN) -> DataFrame:
+    """Spans that overlap no region (``left_anti``) or some region (``left_semi``).
+
+    Regions are made disjoint first; then the last one that begins before a span ends is the only one that can reach it.
+    """
+    disjoint = merged(regions, key, width).select(F.col(key), "start", "end")
+    r = disjoint.select(key, F.col("start").alias("__at"), F.lit(0).alias("__kind"), F.struct("start", "end").alias("__r"), *[F.lit(None).cast(t).alias(f"__p_{c}") for c, t in spans.dtypes if c != key])
+    p = spans.select(key, (F.col("end") - 1).cast("long").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(r.schema["__r"].dataType).alias("__r"), *[F.col(c).alias(f"__p_{c}") for c in spans.columns if c != key])
+    rows, last = _carried(r.unionByName(p), key, ["__at", "__kind"], F.col("__r"), F.floor(F.col("__at") / width))
+    reaches = F.coalesce(F.col("__r.end") > F.col("__p_start"), F.lit(False)) & F.col(key).isNotNull()
+    rows = rows.withColumn("__r", last).where(F.col("__kind") == 1).where(reaches if how == "left_semi" else ~reaches)
+    return rows.select(*[F.col(c) if c == key else F.col(f"__p_{c}").alias(c) for c in spans.columns])
 
 
-def merged(regions: DataFrame, key: str = "doc_id") -> DataFrame:
+def merged(regions: DataFrame, key: str = "doc_id", width: int = BIN) -> DataFrame:
     """Regions with those that overlap or touch made one."""
-    w = Window.partitionBy(key).orderBy("start", "end")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = regions.select(key, "start", "end", before.alias("b"))
-    rows = rows.withColumn("island", F.sum(F.when(F.col("b").isNull() | (F.col("start") > F.col("b")), 1).otherwise(0)).over(w))
-    return rows.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
-
-
-def overlap_pairs(ranges: DataFrame, key: str = "doc_id", name: str = "name") -> DataFrame:
-    """Pairs of ranges of one document that share a place, each pair once."""
-    b = ranges.select(F.col(key).alias("__k"), F.col(name).alias("other"), F.col("start").alias("__s"), F.col("end").alias("__e"))
-    on = (F.col(key) == F.col("__k")) & (F.col(name) < F.col("other")) & (F.col("start") < F.col("__e")) & (F.col("__s") < F.col("end"))
-    return ranges.join(b, on).select(key, name, "other")
+    rows, reach = _carried(regions.select(key, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")), key, ["start", "end"], F.col("end"), F.floor(F.col("start") / width))
+    rows = rows.withColumn("__reach", reach)
+    w = Window.partitionBy(key, "__bin").orderBy("start", "end")
+    ahead = F.coalesce(F.lag("__reach").over(w), "__before")
+    rows = rows.withColumn("__first", F.when(ahead.isNull() | (F.col("start") > ahead), F.struct("start")))
+    rows, opened = _carried(rows.drop("__bin", "__before"), key, ["start", "end"], F.col("__first"), F.floor(F.col("start") / width))
+    return rows.withColumn("__first", opened).groupBy(key, F.col("__first.start").alias("start")).agg(F.max("end").alias("end"))
+
+
+def _swept(width: int):
+    """Pairs of ranges that overlap, from ``key, bin, start, end, name`` sorted by document, bin and start.
+
+    One pass with a heap of the ranges that are open, by where they end. Ranges from the bins before are there to be met; a
+    pair comes out in the bin where the later of the two begins.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, opened = None, []
+        for b in batches:
+            keys, names, others = [], [], []
+            for key, at, start, end, name in zip(*(c.to_pylist() for c in b.columns)):
+                if (key, at) != held:
+                    held, opened = (key, at), []
+                while opened and opened[0][0] <= start:
+                    heapq.heappop(opened)
+                if start // width == at:
+                    for _, began, other in opened:
+                        if began < end and name != other:
+                            keys.append(key)
+                            names.append(min(name, other))
+                            others.append(max(name, other))
+                    if len(keys) > 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), pa.array(names, b.column(4).type), pa.array(others, b.column(4).type)], ["key", "name", "other"])
+                        keys, names, others = [], [], []
+                heapq.heappush(opened, (end, start, name))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), pa.array(names, b.column(4).type), pa.array(others, b.column(4).type)], ["key", "name", "other"])
+
+    return run
+
+
+def overlap_pairs(ranges: DataFrame, key: str = "doc_id", name: str = "name", width: int = BIN) -> DataFrame:
+    """Pairs of ranges of one document that share a place, each pair once; names tell a document's ranges apart.
+
+    A sweep over ranges by their start: its cost goes with the number of ranges and of pairs that are there, not with the square of a
+    document's ranges. Long documents are cut into bins; a range goes to each bin that it reaches.
+    """
+    ship(ranges.sparkSession)
+    first, last = F.floor(F.col("start") / width), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / width)
+    rows = ranges.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.explode(F.sequence(first, last)).alias("bin"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col(name).alias("name"))
+    kinds = dict(ranges.dtypes)
+    found = rows.repartition("key", "bin").sortWithinPartitions("key", "bin", "start", "end", "name").mapInArrow(_swept(width), f"key {kinds[key]}, name {kinds[name]}, other {kinds[name]}")
+    return found.select(F.col("key").alias(key), F.col("name").alias(name), "other")
 
 
 def around(matches_: DataFrame, position: Column, key: str = "doc_id") -> DataFrame:

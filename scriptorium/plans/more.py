@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import markdown, scan
 from scriptorium.functions import text as T
-from scriptorium.functions.offsets import matches
+from scriptorium.functions.offsets import at_places, matches
 from scriptorium.operators import documents as D
 from scriptorium.plans.planted import SEGMENTS, manuscripts, segments
+from scriptorium.plans.spans import places_of
 from scriptorium.sources import files
 from scriptorium.session import table
 
@@ -67,13 +68,10 @@ def style_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def comment_at_offset(spark: SparkSession, d: str) -> DataFrame:
-    """The identifier of the comment whose body has a place in it, and the text that it is about, at every fifth place."""
+    """The identifier of the comment whose body has a place in it, and the text that it is about, at every place."""
     t = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.expr("concat('{#c', p_size, '}', p_name, '{/c', p_size, '}{#c', p_size, '>>say {>>more<<} on<<} end')").alias("text"))
-
-    def found(text: str) -> list[tuple[int, str, str | None]]:
-        return [(at, *hit) for at in range(0, len(text), 5) if (hit := scan.comment_at(text, at))]
-
-    return scan.rows_from(t, found, "place long, id string, about string", only_if=r"\{#").drop("no")
+    ranges = scan.rows_from(t, scan.comment_ranges, "start long, end long, id string, about string", only_if=r"\{#").drop("no")
+    return at_places(places_of(t), ranges).select("doc_id", "place", "id", "about")
 
 
 def reply_lists(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +115,7 @@ SQL = {
         SELECT CAST(l AS BIGINT) AS length, count(*) AS n, CAST(max(s) AS BIGINT) AS last FROM x GROUP BY l""",
     "style_names": "SELECT p_partkey, p_partkey % 4 = 0 OR (p_partkey % 4 = 1 AND NOT contains(p_name, ' ')) OR (p_partkey % 4 = 3 AND NOT contains(p_type, ' ')) AS style_ok, p_partkey % 3 < 2 AS locale_ok FROM part",
     "comment_at_offset": """WITH x AS (SELECT p_partkey, p_name, 'c' || p_size AS id, length('c' || p_size) AS k, length(p_name) AS l FROM part),
-        y AS (SELECT *, 2 * k + 6 + l AS s, 2 * k + 6 + l + k + 24 AS e FROM x), z AS (SELECT *, unnest(range(0, e + 4, 5)) AS place FROM y)
+        y AS (SELECT *, 2 * k + 6 + l AS s, 2 * k + 6 + l + k + 24 AS e FROM x), z AS (SELECT *, unnest(range(0, e + 4)) AS place FROM y)
         SELECT p_partkey AS doc_id, place, id, p_name AS about FROM z WHERE place >= s AND place < e""",
     "reply_lists": "SELECT p_partkey AS doc_id, 0 AS n, 'main ' || p_size AS parent, 'one {>>deep<<}' AS reply FROM part UNION ALL SELECT p_partkey, 1, 'main ' || p_size, 'two' || p_partkey FROM part",
     "output_paths": """SELECT p_partkey, '/w/' || p_partkey || CASE WHEN p_partkey % 3 = 2 THEN '.txt' ELSE '' END AS base, CASE p_partkey % 3 WHEN 0 THEN 'to_markdown' WHEN 1 THEN 'to_docx' END AS direction,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import scan
 from scriptorium.functions import text as T
-from scriptorium.functions.offsets import around, matches, merged, overlap_pairs
+from scriptorium.functions.offsets import around, at_places, matches, merged, overlap_pairs
 from scriptorium.plans.planted import BIB_WHERE, SEGMENTS, bibliography, manuscripts
 from scriptorium.session import table
 
@@ -107,13 +107,16 @@ def usages_of_key(spark: SparkSession, d: str) -> DataFrame:
     return citations(manuscripts(spark, d)).where(F.col("key") == "p7").select("doc_id", "key_start", "key_end")
 
 
-def key_at_offset(spark: SparkSession, d: str) -> DataFrame:
-    """The key at every seventh place of each manuscript."""
+def places_of(docs: DataFrame) -> DataFrame:
+    """``doc_id, place``: every place of every text, the one after its end as well."""
+    return docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.length("text"))).cast("long").alias("place"))
 
-    def found(text: str) -> list[tuple[int, str]]:
-        return [(at, key) for at in range(0, len(text) + 1, 7) if (key := scan.key_at(text, at))]
 
-    return scan.rows_from(manuscripts(spark, d), found, "place long, key string", only_if="@").drop("no")
+def key_at_offset(spark: SparkSession, d: str) -> DataFrame:
+    """The key at every place of each manuscript: texts are scanned once, places joined to the ranges that they lie in."""
+    docs = manuscripts(spark, d)
+    ranges_ = scan.rows_from(docs, scan.key_ranges, "start long, end long, key string", only_if="@").drop("no")
+    return at_places(places_of(docs), ranges_).select("doc_id", "place", "key")
 
 
 def bibliography_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -218,8 +221,8 @@ SQL = {
     "key_at_offset": _S + """, c AS (SELECT doc_id, 'p' || a AS key, s + 2 AS key_start, s + 2 + length('p' || a) AS key_end FROM segs WHERE kind = 5
         UNION ALL SELECT doc_id, 'p' || b, s + 2 + length('p' || a) + 7, s + 2 + length('p' || a) + 7 + length('p' || b) FROM segs WHERE kind = 5
         UNION ALL SELECT doc_id, 'p1', s + 8, s + 10 FROM segs WHERE kind = 6),
-        k AS (SELECT *, unnest(range((key_start - 1) // 7 * 7, key_end + 1, 7)) AS place FROM c)
-        SELECT doc_id, place, key FROM k WHERE place >= key_start - 1""",
+        k AS (SELECT *, unnest(range(key_start - 1, key_end + 1)) AS place FROM c)
+        SELECT doc_id, place, key FROM k""",
     "merged_ranges": """WITH r AS (SELECT DISTINCT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS name, CAST(l_quantity AS BIGINT) AS s, CAST(l_quantity AS BIGINT) + 3 + l_linenumber AS e FROM lineitem),
         b AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r),
         i AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM b)
