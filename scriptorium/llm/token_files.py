@@ -1,7 +1,7 @@
 """Token ids in binary files: tokenizing, Simple-8b word-aligned coding, and reading back.
 
 A file is a run of whole documents in ascending order of identifier (null first, equal identifiers by
-text)::
+a hash of their texts)::
 
     magic  8 bytes   "S8BTOK01"
     header 5 x u64   order (partition << 32 | number in it), documents, ids, blocks, words
@@ -263,7 +263,8 @@ def write_token_files(docs: DataFrame, path: str | None = None, model_path: str
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     tasks = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows that share an identifier, or have none, are ordered by a hash of their texts, and so dealt to many tasks.
+    rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(tasks, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     return blobs_out(rows.mapInArrow(run, "blob binary"), "blob", path or work_dir(spark, "token-files"))
 
 

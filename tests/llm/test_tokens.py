@@ -143,3 +143,15 @@ def test_unigram_counts_against_the_library(spark):
     lib = Tokenizer(models.Unigram([(p, s) for p, s, _ in vocabulary], unk_id=0, byte_fallback=True))
     n = len(lib.encode("▁the▁a", add_special_tokens=False).ids)
     assert sorted((r.doc_id, r.n_tokens) for r in got) == [(1, 0), (2, n), (2, n)]
+
+
+def test_rows_without_identifiers_are_dealt_to_many_tasks(spark, tmp_path):
+    from scriptorium.llm.token_files import read_token_files, write_token_files
+
+    docs = spark.createDataFrame([(None if k % 3 == 0 else k, f"text number {k} " * 5) for k in range(3000)], "doc_id long, text string").repartition(8)
+    path = write_token_files(docs, path=f"file://{tmp_path}/f")
+    sizes = [f.stat().st_size for f in (tmp_path / "f").glob("part-*")]
+    assert len(sizes) >= 4 and max(sizes) < 2.5 * sum(sizes) / len(sizes)
+    rows = sorted(read_token_files(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None] * 1000 + sorted(k for k in range(3000) if k % 3)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))
