@@ -59,6 +59,11 @@ def item_sketches(items: DataFrame, id_col: str, text_col: str, words: int, thre
     return g.select("item_id", "n", "q", "need", F.floor(F.log2("q")).cast("int").alias("size_class"), F.transform("grams", lambda x: F.array_join(x, " ")).alias("grams"), F.slice(hashed, F.lit(1), F.col("q") - F.col("need") + 1).alias("sketch")).distinct()
 
 
+def row_key(doc_id: Column | str, text: Column | str) -> Column:
+    """By what rows are told: of 10^10 rows no two have the same by chance (a probability below 2^-60)."""
+    return F.struct(F.xxhash64(doc_id, text).alias("a"), F.xxhash64(F.lit("second"), doc_id, text).alias("b"))
+
+
 def contained_items(
     docs: DataFrame,
     items: DataFrame,
@@ -72,11 +77,11 @@ def contained_items(
 ) -> DataFrame:
     """``doc_id, item_id, n_shingles, n_shared, containment, doc_key`` of every pair found.
 
-    ``doc_key`` is a hash of a row's identifier and text, by which its row can be told.
+    ``doc_key`` is two 64-bit hashes of a row's identifier and text, by which its row can be told.
     """
     known = cut(item_sketches(items, item_id_col, item_text_col, words, threshold).withColumn("item_key", F.monotonically_increasing_id()), "bench-items")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    rows = rows.withColumn("doc_key", F.xxhash64("doc_id", "text"))
+    rows = rows.withColumn("doc_key", row_key("doc_id", "text"))
     sketch = known.select("item_key", "n", "need", "size_class", F.explode("sketch").alias("h"))
     # A row for each length and class: a few dozen.
     classes = sketch.groupBy("n", "size_class").agg(F.max("h").alias("bound"), F.min("need").alias("need"), F.count("*").alias("rows")).collect()
@@ -98,7 +103,7 @@ def contained_items(
         hit = exploded.join(F.broadcast(side) if small else side, (F.col("h") == F.col("ih")) & (F.col("size") >= F.col("need"))).select("doc_key", "item_key")
         found = hit if found is None else found.unionByName(hit)
     if found is None:
-        return rows.sparkSession.createDataFrame([], "doc_id long, item_id long, n_shingles long, n_shared long, containment double, doc_key long")
+        return rows.sparkSession.createDataFrame([], "doc_id long, item_id long, n_shingles long, n_shared long, containment double, doc_key struct<a:long,b:long>")
     pairs = cut(found.distinct(), "bench-candidates")
     keys = cut(pairs.select("doc_key").distinct(), "bench-keys")
     by_key = F.broadcast(keys) if few(keys.count()) else keys
@@ -129,4 +134,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     name = free_name(docs, "bad_key")
     bad = contained_items(docs, items, **options).select(F.col("doc_key").alias(name)).distinct()
     bad = F.broadcast(bad) if bad.count() <= options.get("max_broadcast", MAX_BROADCAST) else bad
-    return docs.join(bad, F.xxhash64(F.col(id_col).cast("long"), text_of(text_col)) == F.col(name), "left_anti")
+    return docs.join(bad, row_key(F.col(id_col).cast("long"), text_of(text_col)) == F.col(name), "left_anti")

@@ -63,3 +63,15 @@ def test_empty_tables_nulls_and_repeats(spark):
     assert sorted(str(r.doc_id) for r in contained_items(df, it).collect()) == ["1", "1", "None"]
     assert contained_items(df.limit(0), it).collect() == [] and contained_items(df, it.limit(0)).collect() == []
     assert decontaminate(df, it.limit(0)).count() == 3
+
+
+def test_rows_of_one_hash_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from scriptorium.llm import decontaminate as D
+
+    real = D.row_key
+    monkeypatch.setattr(D, "row_key", lambda i, t: F.struct(F.lit(7).cast("long").alias("a"), real(i, t)["b"].alias("b")))
+    docs = spark.createDataFrame([(1, "one two three four five six seven"), (1, "quite another text that is clean"), (None, "also clean words stand in here")], "doc_id long, text string")
+    items = spark.createDataFrame([(9, "two three four five six")], "item_id long, text string")
+    assert sorted(r.text[:5] for r in D.decontaminate(docs, items).collect()) == ["also ", "quite"]
