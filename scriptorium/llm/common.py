@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.session import ship, table
 
-__all__ = ["blobs_in", "blobs_out", "cut", "free_name", "remove", "ship", "table", "text_of", "work_dir"]
+__all__ = ["blobs_in", "blobs_out", "cut", "free_name", "remove", "ship", "swept", "table", "text_of", "work_dir", "written"]
 
 
 #: Folders that ``cut`` wrote and nothing has removed yet.
@@ -62,6 +62,18 @@ def remove(df: DataFrame | str) -> None:
         _left.discard(path)
 
 
+def swept(before: set[str], *kept: DataFrame) -> None:
+    """Delete what ``cut`` has written since ``before = written()``, but for the tables in ``kept``."""
+    stay = {getattr(df, "_scriptorium_path", None) for df in kept}
+    for path in _left - before - stay:
+        remove(path)
+
+
+def written() -> set[str]:
+    """The folders that ``cut`` wrote and nothing has removed."""
+    return set(_left)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or one made from it that no column of ``df`` has (names are told apart without regard to case)."""
     taken = {c.lower() for c in df.columns}
