@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from scriptorium.functions import formula, markdown, scan
 from scriptorium.session import ship
 
-SCALAR = {"strip_marks": scan.strip_marks, "mask_delimiters": scan.mask_delimiters, "hold_paragraphs": scan.hold_paragraphs, "wrap_environments": scan.wrap_environments, "latex_to_omml": formula.to_omml, "omml_to_latex": formula.to_latex, "preview_html": markdown.to_html}
+SCALAR = {"strip_marks": scan.strip_marks, "mask_delimiters": scan.mask_delimiters, "hold_paragraphs": scan.hold_paragraphs, "wrap_environments": scan.wrap_environments, "latex_to_omml": formula.to_omml, "omml_to_latex": formula.to_latex, "preview_html": markdown.to_html, "escape_latex": formula.escape_latex}
 TABLES = {
     "code_regions": (scan.code_regions, "start long, end long"),
     "inert_zones": (scan.inert_zones, "start long, end long"),
+    "citation_key_ranges": (scan.key_ranges, "start long, end long, key string"),
+    "comment_ranges": (scan.comment_ranges, "start long, end long, id string, about string"),
     "latex_tokens": (formula.tokens, "type string, value string, pos long"),
     "markdown_blocks": (markdown.block_rows, "type string, level int, ordered boolean, language string, content string, rows int"),
     "markdown_runs": (markdown.run_rows, "block int, run int, parent int, side string, type string, content string, formats string, color string, href string, attrs string"),

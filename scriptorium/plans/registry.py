@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.plans import documents, hard, more, resolve, spans, texts
+from scriptorium.plans import changes, documents, hard, more, resolve, spans, texts
 
-_MODULES = (spans, texts, resolve, documents, more, hard)
+_MODULES = (spans, texts, resolve, documents, more, hard, changes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

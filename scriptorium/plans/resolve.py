@@ -11,6 +11,7 @@ from scriptorium.operators.threads import roots
 from scriptorium.plans.planted import SEGMENTS, manuscripts, segments
 from scriptorium.plans.spans import _CITES, citations
 from scriptorium.session import table
+from scriptorium.streaming import edits
 
 #: A bibliography per part size: one entry per part, every fifth one again with another title.
 ENTRY = "concat('@article{{p', p_partkey, ',\n  author = {{', p_brand, ' and {{Sons, Inc}}}},\n  title = {{{{', p_name, {0}, '}}}},\n  journal = \"J. of ', p_type, '\",\n  year = ', 1900 + p_size, ',\n  note = {{50\\\\% off}}\n}}\n')"
@@ -185,8 +186,8 @@ def location_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 def debounce_last_event(spark: SparkSession, d: str) -> DataFrame:
     """The last event of each burst of a user, bursts parted by ten minutes of silence."""
-    e = table(spark, d, "events")
-    return e.groupBy("user_id", F.session_window("ts", "10 minutes").alias("w")).agg(F.max_by("event_id", "ts").alias("event_id"), F.count("*").alias("events")).select("user_id", "event_id", "events")
+    e = table(spark, d, "events").select("user_id", "ts", "event_id")
+    return edits.bursts(e, "user_id", "ts", "10 minutes", order=["event_id"]).select("user_id", "event_id", F.col("edits").alias("events"))
 
 
 def latest_version(spark: SparkSession, d: str) -> DataFrame:
@@ -253,7 +254,7 @@ SQL = {
         FROM r UNION ALL SELECT * FROM l WHERE (n_regionkey, k) NOT IN (SELECT (n_regionkey, k) FROM r)""",
     "location_dedupe": "SELECT path, count(*) AS n FROM (SELECT DISTINCT '/docs/' || (l_orderkey % 100) AS path, l_linenumber % 3 FROM lineitem) GROUP BY path",
     "debounce_last_event": """WITH x AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 10 MINUTE, true)::INT AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), y AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM x)
-        SELECT user_id, arg_max(event_id, ts) AS event_id, count(*) AS events FROM y GROUP BY user_id, s""",
+        SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS events FROM y GROUP BY user_id, s""",
     "latest_version": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id",
     "diagnostics_merge": _S + " SELECT doc_id, count(*) FILTER (kind = 5) AS missing, count(*) FILTER (kind = 3) AS orphans FROM segs WHERE kind = 5 AND a % 7 = 3 OR kind = 3 AND a % 2 = 0 GROUP BY doc_id",
     "table_grid": """WITH r AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n, CAST(max(l_quantity) AS INT) AS q FROM lineitem GROUP BY l_orderkey, l_linenumber),

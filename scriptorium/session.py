@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -53,6 +54,16 @@ def ship(spark: SparkSession) -> None:
     sc._scriptorium_shipped = True
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share, under the one that ``spark.checkpoint.dir`` names (on one machine: a temporary one)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='scriptorium-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` computed and its lineage cut, kept in the folder that ``spark.checkpoint.dir`` names."""
     sc = df.sparkSession.sparkContext

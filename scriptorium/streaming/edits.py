@@ -14,22 +14,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 DEBOUNCE_MS = {"validation": 300, "word_count": 500, "decorations": 150}
 
 
-def bursts(edits: DataFrame, key: str = "doc_id", ts: str = "ts", gap: str = "300 milliseconds", late: str = "10 seconds") -> DataFrame:
+def bursts(edits: DataFrame, key: str = "doc_id", ts: str = "ts", gap: str = "300 milliseconds", late: str = "10 seconds", order: list[str] | None = None) -> DataFrame:
     """The last edit of each burst and the number of edits in it; a burst ends with ``gap`` of silence.
 
     On a stream, a burst comes out once the watermark has passed its end; later edits than ``late`` are
-    dropped. A batch gives the same bursts.
+    dropped. A batch gives the same bursts. Of edits of one time the last by ``order`` counts.
     """
     rows = edits.withWatermark(ts, late) if edits.isStreaming else edits
     rest = F.struct(*[c for c in edits.columns if c not in (key, ts)])
-    g = rows.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.max_by(rest, F.col(ts)).alias("last"), F.max(ts).alias("at"), F.count("*").alias("edits"))
+    g = rows.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.max_by(rest, F.struct(ts, *(order or []))).alias("last"), F.max(ts).alias("at"), F.count("*").alias("edits"))
     return g.select(key, "at", "edits", "last.*")
 
 
-def newest(edits: DataFrame, key: str = "doc_id", version: str = "version", timeout_ms: int = 3_600_000) -> DataFrame:
-    """Edits that are newer than any seen of their document: one state per document, given up after ``timeout_ms``.
+def newest(edits: DataFrame, key: str = "doc_id", version: str = "version", timeout_ms: int | None = None) -> DataFrame:
+    """Edits that are newer than any seen of their document: one number of state per document.
 
-    ``edits`` has ``key`` (long), ``version`` (long) and ``text``; within a micro-batch the newest stays.
+    It is kept for good, so that an old version never passes; with ``timeout_ms`` it is given up after as long without an edit. ``edits`` has ``key`` (long), ``version`` (long) and ``text``; within a micro-batch the newest stays.
     """
 
     def step(k: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -43,11 +43,12 @@ def newest(edits: DataFrame, key: str = "doc_id", version: str = "version", time
             if top[version] > seen:
                 seen, best = int(top[version]), top
         state.update((seen,))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
         if best is not None:
             yield pd.DataFrame({key: [k[0]], version: [seen], "text": [best["text"]]})
 
-    return edits.select(key, version, "text").groupBy(key).applyInPandasWithState(step, f"{key} long, {version} long, text string", "seen long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return edits.select(key, version, "text").groupBy(key).applyInPandasWithState(step, f"{key} long, {version} long, text string", "seen long", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 def check_keys(edits: DataFrame, bibliography: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -58,5 +59,5 @@ def check_keys(edits: DataFrame, bibliography: DataFrame, key: str = "doc_id") -
 
 
 def watch_text(spark, folder: str, pattern: str = "*.md") -> DataFrame:
-    """New and changed files of a folder as a stream of ``path, text``."""
+    """New files of a folder as a stream of ``path, text``; ``sources.watched`` also sees files that change or go."""
     return spark.readStream.option("pathGlobFilter", pattern).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
