@@ -38,7 +38,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_of
+from .common import released, ship, text_of
 from .pieces import WHITE, Memo, by_word, byte_slices
 
 MAX_VOCABULARY_BYTES = 64_000_000
@@ -221,6 +221,7 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, pattern: st
         raise ValueError(f"a rank file of {len(rank_file)} bytes is too large to broadcast")
     sent = spark.sparkContext.broadcast(rank_file)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(sent.value, pattern)
         for b in batches:
@@ -230,6 +231,8 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, pattern: st
                 cols += [pa.array(coded, pa.binary())] if ids else []
                 cols += [pa.array([hashlib.sha256(x).hexdigest() for x in coded]), pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in coded])]
                 yield pa.RecordBatch.from_arrays(cols, names)
+        bpe = None
+        _made.clear()  # a worker keeps no cuts for other operators to carry
 
     names = ["doc_id", "n_tokens", *["ids"] * ids, "ids_sha256", "decoded_sha256"]
     schema = "doc_id long, n_tokens long, " + "ids binary, " * ids + "ids_sha256 string, decoded_sha256 string"

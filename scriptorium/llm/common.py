@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.session import ship, table
 
-__all__ = ["blobs_in", "blobs_out", "cut", "free_name", "remove", "ship", "swept", "table", "text_of", "work_dir", "written"]
+__all__ = ["blobs_in", "blobs_out", "cut", "free_name", "released", "remove", "ship", "swept", "table", "text_of", "work_dir", "written"]
 
 
 #: Folders that ``cut`` wrote and nothing has removed yet.
@@ -82,6 +87,25 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def released(run):
+    """A function of batches whose worker gives memory back when a task ends.
+
+    Workers are used again by other operators, and what an allocator keeps counts as the executor's.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def text_of(c: str | Column) -> Column:
     """Null counts as empty."""
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_of
+from .common import released, ship, text_of
 
 MAX_POSITIVE = 6_000
 MAX_UNLABELLED = 8_000
@@ -158,7 +158,7 @@ def _features_of(rows: DataFrame, extra: str) -> DataFrame:
                 x = [features(t).tobytes() for t in b.column(1).slice(lo, 200).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 200), pa.array(x, pa.binary())], [extra.split()[0], "x"])
 
-    return rows.mapInArrow(run, f"{extra}, x binary")
+    return rows.mapInArrow(released(run), f"{extra}, x binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, prior: float | None = None) -> Model | None:
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 s = np.full(len(part), 0.5) if m is None else m.score(np.array([features(t) for t in part]))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 200), pa.array(s.astype(float), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(released(run), "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -212,7 +212,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col:
                 s = np.full(part.num_rows, 0.5) if m is None else m.score(np.array([features(t or "") for t in part.column(at).to_pylist()]))
                 yield part.filter(pa.array(s >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
