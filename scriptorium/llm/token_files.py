@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_chars
-from .common import blobs_in, blobs_out, cut, remove, ship, text_of, work_dir
+from .common import blobs_in, blobs_out, cut, released, remove, ship, text_of, work_dir
 from .pieces import Memo, by_word, byte_slices
 
 MAGIC = b"S8BTOK01"
@@ -181,7 +181,7 @@ class WordIds:
         self.bare = Tokenizer.from_str(json.dumps({**spec, "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
         chars = byte_chars()
         self.shown = {ord(c): "".join(chars[x] for x in c.encode()) for c in map(chr, [0xDF, *range(0xE0, 0xF7), *range(0xF8, 0x100)])}
-        self.memo = Memo(self._words, limit=600_000)
+        self.memo = Memo(self._words, limit=400_000)
         self.plain = re.compile("[a-zß-öø-ÿ]+|[.,;:!?]+").fullmatch  # one match of the pattern, and normalised
         self.signs = re.compile("[!-@[-~]+").fullmatch
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
@@ -265,7 +265,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, model_path: str
     tasks = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Rows that share an identifier, or have none, are ordered by a hash of their texts, and so dealt to many tasks.
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(tasks, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
-    return blobs_out(rows.mapInArrow(run, "blob binary"), "blob", path or work_dir(spark, "token-files"))
+    return blobs_out(rows.mapInArrow(released(run), "blob binary"), "blob", path or work_dir(spark, "token-files"))
 
 
 def read_token_files(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
@@ -287,7 +287,7 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = False) -> DataF
 
     names = ["file", "doc_id", "within", "n_tokens", "ids_crc32", *["ids"] * ids]
     schema = "file long, doc_id long, within long, n_tokens long, ids_crc32 long" + ", ids binary" * ids
-    found = cut(blobs_in(spark, path).select("content").mapInArrow(run, schema), "token-index")
+    found = cut(blobs_in(spark, path).select("content").mapInArrow(released(run), schema), "token-index")
     # A running sum over the files of each writing task, and one over the tasks, whose number is set, not grown.
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = found.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("task", F.shiftright("file", 32))
