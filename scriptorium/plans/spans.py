@@ -109,7 +109,7 @@ def usages_of_key(spark: SparkSession, d: str) -> DataFrame:
 
 def places_of(docs: DataFrame) -> DataFrame:
     """``doc_id, place``: every place of every text, the one after its end as well."""
-    return docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.length("text"))).cast("long").alias("place"))
+    return docs.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.length("text").cast("long"))).alias("place"))
 
 
 def key_at_offset(spark: SparkSession, d: str) -> DataFrame:
