@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import scan
 from scriptorium.functions import text as T
+from scriptorium.session import ship
 
 #: Fields that are never escaped.
 VERBATIM = ("doi", "url", "isbn", "issn", "zotero-key")
@@ -144,22 +148,34 @@ def affected(changed: DataFrame, paired: DataFrame, key: str = "doc_id") -> Data
 
 
 def key_table(items: DataFrame, order: str = "ord") -> DataFrame:
-    """``item, key``: keys of distinct items in order of first appearance, told apart by 2, 3, ...
+    """``scope, item, key``: keys of distinct items in order of first appearance, told apart by 2, 3, ...
 
-    ``items`` has ``scope, item, base, ord``. Bases are made distinct within a scope by an ordered fold
-    over the scope's distinct items, which are one manuscript's bibliography.
+    ``items`` has ``scope, item, base, ord``. Keys made of two bases can only be equal if the bases are, but for
+    digits at their ends. Where all items of such a stem have one base, the place of an item among them is its number, by a
+    window; only stems with several bases are folded in order, row by row, so no scope is gathered.
     """
+    ship(items.sparkSession)
     first = items.groupBy("scope", "item").agg(F.min_by("base", order).alias("base"), F.min(order).alias("o"))
-    lists = first.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("o", "item", "base"))).alias("x"))
-
-    @F.arrow_udf("array<string>")
-    def fold(bases):
-        import pyarrow as pa
-
-        return pa.array([scan.disambiguate(b) for b in bases.to_pylist()], pa.list_(pa.string()))
-
-    named = lists.withColumn("keys", fold(F.transform("x", lambda r: r.base)))
-    return named.select("scope", F.explode(F.arrays_zip("x", "keys")).alias("z")).select("scope", F.col("z.x.item").alias("item"), F.col("z.keys").alias("key"))
+    named = first.withColumn("stem", F.regexp_replace("base", "[0-9]+$", ""))
+    mixed = named.groupBy("scope", "stem").agg(F.min("base").alias("a"), F.max("base").alias("b")).where("a <> b").select("scope", "stem")
+    place = F.row_number().over(Window.partitionBy("scope", "base").orderBy("o", "item"))
+    alone = named.join(mixed, ["scope", "stem"], "left_anti").withColumn("n", place)
+    alone = alone.select("scope", "item", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", "n")).alias("key"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, told = None, scan.Distinct()
+        for b in batches:
+            keys = []
+            for scope, stem, base in zip(*(b.column(i).to_pylist() for i in (0, 1, 3))):
+                if (scope, stem) != held:
+                    held, told = (scope, stem), scan.Distinct()
+                keys.append(told.of(base))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.string())], ["scope", "item", "key"])
+
+    kinds = dict(named.dtypes)
+    rows = named.join(mixed, ["scope", "stem"], "left_semi").repartition("scope", "stem").sortWithinPartitions("scope", "stem", "o", "item")
+    folded = rows.select("scope", "stem", "item", "base").mapInArrow(fold, f"scope {kinds['scope']}, item {kinds['item']}, key string")
+    return alone.unionByName(folded)
 
 
 def renumber(marks: DataFrame, reserved: list[int] | None = None) -> DataFrame:
