@@ -181,7 +181,7 @@ class WordIds:
         self.bare = Tokenizer.from_str(json.dumps({**spec, "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
         chars = byte_chars()
         self.shown = {ord(c): "".join(chars[x] for x in c.encode()) for c in map(chr, [0xDF, *range(0xE0, 0xF7), *range(0xF8, 0x100)])}
-        self.memo = Memo(self._words, limit=600_000)
+        self.memo = Memo(self._words, limit=900_000)
         self.plain = re.compile("[a-zß-öø-ÿ]+|[.,;:!?]+").fullmatch  # one match of the pattern, and normalised
         self.signs = re.compile("[!-@[-~]+").fullmatch
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
