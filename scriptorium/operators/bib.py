@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import scan
 from scriptorium.functions import text as T
-from scriptorium.session import ship
+from scriptorium.session import dealt, ship
 
 #: Fields that are never escaped.
 VERBATIM = ("doi", "url", "isbn", "issn", "zotero-key")
@@ -173,7 +173,7 @@ def key_table(items: DataFrame, order: str = "ord") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.string())], ["scope", "item", "key"])
 
     kinds = dict(named.dtypes)
-    rows = named.join(mixed, ["scope", "stem"], "left_semi").repartition("scope", "stem").sortWithinPartitions("scope", "stem", "o", "item")
+    rows = dealt(named.join(mixed, ["scope", "stem"], "left_semi"), ["scope", "stem"], ["o", "item"])
     folded = rows.select("scope", "stem", "item", "base").mapInArrow(fold, f"scope {kinds['scope']}, item {kinds['item']}, key string")
     return alone.unionByName(folded)
 

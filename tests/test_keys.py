@@ -48,3 +48,15 @@ def test_a_scope_of_a_million_items(spark):
     keys = bib.key_table(df)
     assert keys.select("key").distinct().count() == 1_000_000
     assert keys.where("key = 'kx'").first().item == 0 and keys.where("key = 'kx500000'").first().item == 999_998
+
+
+def test_scopes_are_dealt_by_an_exchange_of_their_own(spark):
+    """One that Spark may neither plan away nor split, though the join below deals by scope and stem already."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(60).selectExpr("id % 10 AS scope", "id AS item", "concat('k', id % 3) AS base", "id AS ord")
+        plan = bib.key_table(df)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_COL" in plan[plan.index("MapInArrow") :]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
