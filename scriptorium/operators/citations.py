@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.styles import STYLES, Style
-from scriptorium.session import ship
+from scriptorium.session import dealt, ship
 
 MAX_STYLES = 1_000
 
@@ -68,8 +68,7 @@ def rendered(cites: DataFrame, items: DataFrame, styles: DataFrame | None = None
         if held:
             yield _batch(list(one(held, made)), b.schema.field(0).type)
 
-    dealt = rows.repartition("doc_id").sortWithinPartitions("doc_id", "cluster", "ord")
-    return dealt.mapInArrow(run, f"doc_id {kind}, kind string, place long, key string, text string")
+    return dealt(rows, ["doc_id"], ["cluster", "ord"]).mapInArrow(run, f"doc_id {kind}, kind string, place long, key string, text string")
 
 
 def _batch(rows: list[tuple], first: pa.DataType) -> pa.RecordBatch:

@@ -3,6 +3,8 @@
 import json
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from scriptorium.functions.styles import AUTHOR_DATE, NUMERIC, Style
 from scriptorium.operators.citations import rendered
@@ -77,3 +79,12 @@ def test_documents_in_their_styles(spark):
         (2, "citation", 0): "Second", (3, "citation", 9): "(Doe 2001; lost)", (3, "entry", 0): "Doe, A. B. (2001). First. <i>J</i>, 4, 1-9.",
     }
     assert rendered(c.limit(0), i).collect() == []
+
+
+def test_documents_are_dealt_by_an_exchange_of_their_own(spark):
+    """One that Spark may neither plan away nor read locally, though the cites come from windows over documents."""
+    w = Window.partitionBy("doc_id").orderBy("n")
+    one = spark.range(40).selectExpr("id % 5 AS doc_id", "id AS n").select("doc_id", F.row_number().over(w).cast("long").alias("cluster"), F.lit(0).alias("ord"), F.lit("one").alias("key"), F.lit(None).cast("string").alias("locator"), F.lit("numeric").alias("style"))
+    items = spark.range(1).select(F.lit("one").alias("key"), F.lit(json.dumps(ITEMS["one"])).alias("item"))
+    plan = rendered(one.unionByName(one.withColumn("ord", F.lit(1))), items)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan[plan.index("MapInArrow") :]
