@@ -99,6 +99,11 @@ def body(c: Column) -> Column:
 
 def write_front(m: Column) -> Column:
     """Front matter in its fixed order, from a struct as ``front_matter`` makes it; nothing if it has nothing."""
+    # The struct is bound to a variable, so that what makes it is evaluated once and not for each key.
+    return F.get(F.transform(F.array(m), _written), F.lit(0))
+
+
+def _written(m: Column) -> Column:
     num = lambda x: F.regexp_replace(x.cast("string"), r"\.0$", "")
     line = lambda k, v: F.concat(F.lit(f"{k}: "), F.nullif(v, F.lit("")))
     lines = F.concat_ws(
