@@ -205,8 +205,11 @@ def escape_xml(c: Column) -> Column:
 def _numeric_references(c: Column, pattern: str, base: int) -> Column:
     found = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
     gaps = F.split(c, pattern, -1)
-    # chr() counts modulo 256, so characters come from UTF-32.
-    decoded = F.transform(found, lambda x: F.decode(F.unhex(F.lpad(F.when(F.lit(base == 16), x).otherwise(F.hex(x.cast("long")) if base == 10 else x), 8, "0")), "UTF-32"))
+    code = lambda x: F.conv(x, base, 10).cast("long")
+    # chr() counts modulo 256, so characters come from UTF-32; numbers that are no characters stand as U+FFFD. The
+    # mark in front is taken for the byte order, so that U+FEFF itself stays.
+    char = lambda n: F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(F.when(n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), 0xFFFD).otherwise(n)), 8, "0"))), "UTF-32")
+    decoded = F.transform(F.transform(found, code), char)
     return F.array_join(F.transform(gaps, lambda g, i: F.concat(F.when(i > 0, F.coalesce(F.get(decoded, i - 1), F.lit(""))).otherwise(""), g)), "")
 
 
