@@ -128,9 +128,21 @@ def bib_path(c: Column) -> Column:
     return F.when((c == "") | F.endswith(c, F.lit(".bib")), c).otherwise(F.concat(c, F.lit(".bib")))
 
 
+#: Parts that the candidates of one path are dealt into.
+SALTS = 1_024
+
+
 def resolve_paths(candidates: DataFrame, files: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, path``: of each document the first candidate (by ``priority``) that is a file."""
-    return candidates.join(files.select("path"), "path", "left_semi").groupBy(key).agg(F.min_by("path", "priority").alias("path"))
+    """``key, path``: of each document the first candidate (by ``priority``) that is a file.
+
+    Candidates of a path are dealt out by a salt, and only the different ones of each salt are looked up, so a path that all documents name, as a
+    default, meets in no task: at most ``SALTS`` rows of it do.
+    """
+    salted = candidates.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+    asked = salted.select("path", "__salt").distinct()
+    there = asked.join(files.select("path").distinct(), "path").select(F.col("path").alias("__p"), F.col("__salt").alias("__s"))
+    found = salted.join(there, (F.col("path") == F.col("__p")) & (F.col("__salt") == F.col("__s")))
+    return found.groupBy(key).agg(F.min_by("path", "priority").alias("path"))
 
 
 def definitions(citations: DataFrame, paired: DataFrame, entries_: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -60,3 +60,11 @@ def test_scopes_are_dealt_by_an_exchange_of_their_own(spark):
         assert "REPARTITION_BY_COL" in plan[plan.index("MapInArrow") :]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_a_path_that_all_documents_name(spark):
+    c = spark.range(5000).selectExpr("id AS doc_id", "explode(array(struct(0 AS priority, concat('own/', id) AS path), struct(1 AS priority, 'default' AS path))) AS x").select("doc_id", "x.*")
+    files = spark.range(5000).where("id % 3 = 0").selectExpr("concat('own/', id) AS path").unionByName(spark.sql("SELECT explode(array('default', 'default', 'other')) AS path"))
+    got = bib.resolve_paths(c, files)
+    assert {r.doc_id: r.path for r in got.collect()} == {n: f"own/{n}" if n % 3 == 0 else "default" for n in range(5000)}
+    assert "__salt" in got._jdf.queryExecution().optimizedPlan().toString()
