@@ -20,11 +20,11 @@ def entries(bibs: DataFrame, key: str = "bib_id", text: str = "text") -> DataFra
     """``key, no, type, entry, name, value, field_no, at``: one row per field of each entry as it stands (a row without a field for an empty entry)."""
 
     def rows(t: str):
-        for kind, entry, fields, at in scan.parse_bib(t):
+        for kind, entry, fields, at in scan.bib_entries(t):
             for n, (name, value) in enumerate(fields or [(None, None)]):
                 yield kind, entry, name, value, n, at
 
-    return scan.rows_from(bibs, lambda t: list(rows(t)), "type string, entry string, name string, value string, field_no int, at long", key, text, "@")
+    return scan.rows_from(bibs, rows, "type string, entry string, name string, value string, field_no int, at long", key, text, "@")
 
 
 def parsed(bibs: DataFrame, key: str = "bib_id", text: str = "text") -> DataFrame:
