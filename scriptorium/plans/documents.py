@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import formula, markdown, scan
 from scriptorium.sources import docx
-from scriptorium.session import table
+from scriptorium.session import spread, table
 
 DOC = """concat('# ', p_name, '\n\nSome **', p_type, '** text and {++', p_brand, '++} [@p', p_partkey, ', p. ', p_size, '] here[^n].\n\n- one ', p_size, '\n- two\n   - three\n\n```sql\nSELECT ', p_partkey, '\n```\n\n| a | b |\n| --- | --- |\n| ', p_size, ' | x |\n\n> quoted ', p_partkey, '\n\n[^n]: Note ', p_partkey, '.')"""
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(DOC).alias("text"))
+    return spread(table(spark, d, "part")).select(F.col("p_partkey").alias("doc_id"), F.expr(DOC).alias("text"))
 
 
 def _notes_off(t: str) -> str:
@@ -47,23 +47,23 @@ FORMULA = r"concat('\\frac{x_{', p_size, '}}{2}+\\sqrt{', p_partkey, '}')"
 
 
 def latex_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "part").select("p_partkey", F.expr(FORMULA).alias("text"))
+    f = spread(table(spark, d, "part")).select("p_partkey", F.expr(FORMULA).alias("text"))
     return scan.text_from(scan.text_from(f, formula.to_omml, "text"), formula.to_latex, "latex").select("p_partkey", "latex")
 
 
 def latex_tokens(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(FORMULA).alias("text"))
+    f = spread(table(spark, d, "part")).select(F.col("p_partkey").alias("doc_id"), F.expr(FORMULA).alias("text"))
     t = scan.rows_from(f, formula.tokens, "type string, value string, pos long")
     return t.groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.max("pos").alias("last"))
 
 
 def latex_wrap(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "part").select("p_partkey", F.expr(r"concat('a\n\\begin{align}\nx&=', p_size, '\n\n\\end{align}\nb `\\begin{align}y\\end{align}`')").alias("text"))
+    t = spread(table(spark, d, "part")).select("p_partkey", F.expr(r"concat('a\n\\begin{align}\nx&=', p_size, '\n\n\\end{align}\nb `\\begin{align}y\\end{align}`')").alias("text"))
     return scan.text_from(t, scan.wrap_environments, "out").select("p_partkey", "out")
 
 
 def cell_runs(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.expr("concat('<b>', p_name, '</b> &amp; <i>x<sup>', p_size, '</sup></i><br><a href=\"u', p_partkey, '\">l</a>')").alias("text"))
+    t = spread(table(spark, d, "part")).select(F.col("p_partkey").alias("doc_id"), F.expr("concat('<b>', p_name, '</b> &amp; <i>x<sup>', p_size, '</sup></i><br><a href=\"u', p_partkey, '\">l</a>')").alias("text"))
     return scan.rows_from(t, lambda s: scan.merge_runs(scan.cell_runs(s)), "content string, formats string, href string")
 
 
@@ -71,17 +71,17 @@ def html_table_cells(spark: SparkSession, d: str) -> DataFrame:
     def cells(t: str):
         return [(n, len(b.rows[n]), sum(c[1] for c in b.rows[n])) for b in markdown.blocks(t) if b.type == "table" for n in range(len(b.rows))]
 
-    t = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.expr("concat('<table><tr><td colspan=\"', p_size % 3 + 1, '\">a</td><td>b</td></tr><tr><th>c</th></tr></table>')").alias("text"))
+    t = spread(table(spark, d, "part")).select(F.col("p_partkey").alias("doc_id"), F.expr("concat('<table><tr><td colspan=\"', p_size % 3 + 1, '\">a</td><td>b</td></tr><tr><th>c</th></tr></table>')").alias("text"))
     return scan.rows_from(t, cells, "row long, cells long, columns long").drop("no")
 
 
 def paragraph_safe(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "part").select("p_partkey", F.expr("concat('a\n\n{++x', p_size, '\n\ny++} b\n\n{>>c\n\nd<<}')").alias("text"))
+    t = spread(table(spark, d, "part")).select("p_partkey", F.expr("concat('a\n\n{++x', p_size, '\n\ny++} b\n\n{>>c\n\nd<<}')").alias("text"))
     return scan.text_from(t, scan.hold_paragraphs, "out").select("p_partkey", F.regexp_count("out", F.lit(scan.BREAK)).cast("long").alias("held"), F.regexp_count("out", F.lit("\n\n")).cast("long").alias("left"))
 
 
 def matched_comments(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.expr("concat('{>>a {>>b', p_size, '<<} c<<} {>>open {>>d<<}')").alias("text"))
+    t = spread(table(spark, d, "part")).select(F.col("p_partkey").alias("doc_id"), F.expr("concat('{>>a {>>b', p_size, '<<} c<<} {>>open {>>d<<}')").alias("text"))
     return scan.rows_from(t, lambda s: sorted(scan.closes(s).items()), "start long, end long").drop("no")
 
 

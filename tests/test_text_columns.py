@@ -22,3 +22,11 @@ def test_front_matter_is_read_once_to_be_written(spark):
 def test_comment_identifiers_are_those_of_the_sql(spark):
     df = spark.createDataFrame([(n,) for n in (0, 35, 36, 1295, 1296, 46655, 46656, 120000)], "p_partkey long").selectExpr(COMMENT_ID)
     assert [r[0] for r in df.collect()] == ["0", "z", "10", "zz", "100", "zzz", "00", "lc"]
+
+
+def test_a_small_file_is_spread_over_the_cores(spark, tmp_path):
+    from scriptorium.plans import documents
+
+    spark.range(100).selectExpr("id AS p_partkey", "'n' AS p_name", "'t' AS p_type", "'b' AS p_brand", "1 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    df = documents.block_kinds(spark, str(tmp_path))
+    assert df.count() == 800 and df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
