@@ -39,18 +39,25 @@ DENSE = 4096
 WIDE_FROM = 2**26
 
 
-def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
-    """SimHash of a text: a bit is 1 if it is set in over half of the shingles' hashes."""
+def shingles(text: str, words: int = 4, seed: int = 42) -> np.ndarray:
+    """Hashes of a text's shingles, uint64, repeats included; none of a text without words."""
     w = text.encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return 0
-    n = max(1, len(w) - words + 1)
     h = xxhash.xxh64_intdigest
+    n = max(1, len(w) - words + 1) if w else 0
+    return np.fromiter((h(b" ".join(w[i : i + words]), seed) for i in range(n)), np.uint64, n)
+
+
+def majority(h: np.ndarray) -> int:
+    """The SimHash of these hashes: a bit is 1 if it is set in over half of them."""
     total = np.zeros(64, np.int64)
-    for lo in range(0, n, 32_768):
-        got = np.array([h(b" ".join(w[i : i + words]), seed) for i in range(lo, min(n, lo + 32_768))], ">u8")
-        total += np.unpackbits(got.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+    for lo in range(0, len(h), 32_768):
+        total += np.unpackbits(h[lo : lo + 32_768].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(h)).tobytes(), "big")
+
+
+def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
+    """SimHash of a text's shingles."""
+    return majority(shingles(text, words, seed))
 
 
 def position_sets(wide: bool) -> list[tuple[int, ...]]:
@@ -179,6 +186,28 @@ def link(fps: DataFrame, distance: int = 4, dense: int = DENSE) -> DataFrame:
     return found.where("u != v").unionByName(joined)
 
 
+def linked_rows(prints: DataFrame, distance: int = 4, dense: int = DENSE) -> DataFrame:
+    """``u, v``: pairs of rows (``key, fp``) that have the same components as all rows whose fingerprints are within ``distance``.
+
+    Each fingerprint is told by its row of the smallest key. That row is paired with the fingerprint's other
+    rows, with the row of the most linked fingerprint of those linked to it and with that of the most linked
+    one in its component; so there are at most two pairs a row, however large a component is.
+    """
+    told = cut(prints.groupBy("fp").agg(F.min("key").alias("least")), "simhash-told")
+    links = cut(link(told, distance, dense), "simhash-linked")
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    degree = F.struct("links", F.col("v").alias("fp"))
+    linked = cut(both.groupBy("v").agg(F.count("*").alias("links")), "simhash-degrees")
+    hubs = both.join(linked, "v").groupBy("u").agg(F.max(degree).alias("x")).select("u", F.col("x.fp").alias("v"))
+    roots = cut(components(links), "simhash-roots")
+    centres = roots.join(linked, F.col("node") == F.col("v")).groupBy("root").agg(F.max(degree).alias("x")).select("root", F.col("x.fp").alias("v"))
+    edges = hubs.unionByName(roots.join(centres, "root").select(F.col("node").alias("u"), "v"))
+    between = edges.where("u <> v").distinct().join(told.toDF("u", "a"), "u").join(told.toDF("v", "b"), "v").select("a", "b")
+    # A fingerprint that many rows share is one row on this side; the other is split where it is hot.
+    within = prints.join(told, "fp").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    return within.unionByName(between).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, seed: int = 42, dense: int = DENSE) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of each row; ``component_id`` is the smallest identifier reachable."""
     ship(docs.sparkSession)

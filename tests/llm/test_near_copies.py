@@ -96,3 +96,45 @@ def test_a_large_group_costs_few_pairs(spark, monkeypatch):
     kept = sorted(r.doc_id for r in without_near_copies(docs).collect())
     assert kept == [i for i in range(n) if find(i) == i] and 20 < len(kept) < n / 2
     assert sum(tried) < n * n / 8  # every pair would be n * n / 2
+
+
+def test_the_stage_links_by_fingerprints_first(spark, tmp_path, monkeypatch):
+    from scriptorium.llm import near_copies as N
+    from scriptorium.llm.simhash import fingerprint
+
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=6))
+    texts = {i: [word() for _ in range(1500)] for i in range(6)}
+    for i in range(6):  # one word more: few bits change
+        texts[100 + i] = [*texts[i], word()]
+    for i in range(20):  # a fingerprint of a line that comes back, in texts of which most shingles differ
+        texts[200 + i] = "a line that comes back".split() * 200 + [word() for _ in range(30)]
+    texts = {i: " ".join(t) for i, t in texts.items()}
+    texts[300], texts[301] = "", " \n"
+    prints = {i: fingerprint(t, 5) for i, t in texts.items()}
+    sets = {i: set(shingle_hashes(t).tolist()) for i, t in texts.items()}
+    near = {(a, b) for a, b in itertools.combinations(sorted(texts), 2) if (prints[a] ^ prints[b]).bit_count() <= 4}
+    similar = {(a, b) for a, b in itertools.combinations(sorted(texts), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(near & similar) >= 5 and len(near - similar) >= 20
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], SCHEMA).repartition(3)
+    both = sorted(r.doc_id for r in pipeline.near(spark, docs, str(tmp_path)).collect())
+    nothing = lambda named, *a: named.select(named.key.alias("u"), named.key.alias("v")).limit(0)
+    monkeypatch.setattr(N, "_stars", nothing)
+    monkeypatch.setattr(N, "_apart", nothing)
+    alone = sorted(r.doc_id for r in pipeline.near(spark, docs, str(tmp_path)).collect())
+    assert alone == sorted(set(texts) - {b for _, b in near & similar})
+    assert both == sorted(set(texts) - {b for _, b in similar})
+
+
+def test_rows_linked_by_fingerprints_are_not_paired_again(spark, tmp_path, monkeypatch):
+    from scriptorium.llm import near_copies as N
+
+    rnd = random.Random(12)
+    base = ["".join(rnd.choices("abcdefghij", k=6)) for _ in range(3000)]
+    texts = [" ".join([*base, f"end{i}"]) for i in range(30)]
+    tried = []
+    verify = N.verified
+    monkeypatch.setattr(N, "verified", lambda d, s, pairs, *a: (tried.append(pairs.count()), verify(d, s, pairs, *a))[1])
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    assert [r.doc_id for r in pipeline.near(spark, docs, str(tmp_path)).collect()] == [0]
+    assert 29 <= tried[0] <= 58 and sum(tried[1:]) == 0

@@ -77,3 +77,30 @@ def test_query_with_nulls_ties_and_repeats(spark):
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")
     assert {r.root for r in components(edges).collect()} == {0}
+
+
+def test_linked_rows_have_the_components_of_all_close_rows(spark):
+    rnd = random.Random(6)
+    prints = {}
+    for _ in range(12):
+        base = rnd.getrandbits(64)
+        for _ in range(10):
+            v = base
+            for b in rnd.sample(range(64), rnd.randint(0, 5)):
+                v ^= 1 << b
+            for _ in range(rnd.choice([1, 1, 3])):
+                prints[rnd.getrandbits(40)] = v
+    rows = spark.createDataFrame([(k, int(np.uint64(v).astype(np.int64))) for k, v in prints.items()], "key long, fp long").repartition(5)
+    for dense in (4096, 3):
+        pairs = simhash.linked_rows(rows, dense=dense).collect()
+        assert len(pairs) <= 2 * len(prints) and all(p.u < p.v for p in pairs)
+        got = {r.node: r.root for r in components(spark.createDataFrame(pairs)).collect()}
+        assert {k: got.get(k, k) for k in prints} == brute(prints)
+    assert simhash.linked_rows(spark.createDataFrame([], "key long, fp long")).collect() == []
+
+
+def test_fingerprints_of_all_lengths(spark):
+    for n in (1, 3, 4, 5, 32_771, 32_772, 70_000):
+        w = [f"w{i % 977}".encode() for i in range(n)]
+        h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(1, n - 3))]
+        assert simhash.fingerprint(b" ".join(w).decode()) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
