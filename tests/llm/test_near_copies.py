@@ -138,3 +138,56 @@ def test_rows_linked_by_fingerprints_are_not_paired_again(spark, tmp_path, monke
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).repartition(3)
     assert [r.doc_id for r in pipeline.near(spark, docs, str(tmp_path)).collect()] == [0]
     assert 29 <= tried[0] <= 58 and sum(tried[1:]) == 0
+
+
+def test_rows_nearly_similar_to_a_large_group_make_few_pairs(spark, tmp_path, monkeypatch):
+    from scriptorium.llm import near_copies as N
+
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=7))
+    base = [word() for _ in range(400)]
+    texts = []
+    for k in range(240):  # from one word changed to 14: the last are similar to none, or to rows with like changes
+        t = list(base)
+        for at in rnd.sample(range(5, 395), 1 + k % 14):
+            t[at] = word()
+        texts.append(t)
+    for k in range(0, 240, 20):  # a row that only such a row leads to
+        t = list(texts[k + 13])
+        for at in rnd.sample(range(5, 395), 2):
+            t[at] = word()
+        texts.append(t)
+    texts = [" ".join(t) for t in texts]
+    sets = [set(shingle_hashes(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    left = [i for i in range(len(texts)) if find(i) == i]
+    assert 40 < len(left) < 160
+    seen = spark.sparkContext.accumulator(0)
+    pairs = N._pairs
+
+    def counted(star, threshold):
+        run = pairs(star, threshold)
+
+        def seeing(batches):
+            for b in run(batches):
+                seen.add(0 if star else b.num_rows)
+                yield b
+
+        return seeing
+
+    tried = []
+    verify = N.verified
+    monkeypatch.setattr(N, "_pairs", counted)
+    monkeypatch.setattr(N, "verified", lambda d, s, p, *a: (tried.append(p.count()), verify(d, s, p, *a))[1])
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    assert sorted(r.doc_id for r in without_near_copies(docs).collect()) == left
+    assert seen.value < 5 * len(texts) and tried[-1] < 6 * len(texts), (seen.value, tried)  # pairs of lists, and all of the last step
