@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.session import ship, table
 
-__all__ = ["blobs_in", "blobs_out", "cut", "free_name", "released", "remove", "ship", "swept", "table", "text_of", "work_dir", "written"]
+__all__ = ["blobs_in", "blobs_out", "collected", "cut", "free_name", "released", "remove", "ship", "swept", "table", "text_of", "work_dir", "written"]
 
 
 #: Folders that ``cut`` wrote and nothing has removed yet.
@@ -74,6 +74,15 @@ def swept(before: set[str], *kept: DataFrame) -> None:
         remove(path)
 
 
+def collected(spark: SparkSession) -> None:
+    """Collect the driver's garbage, between steps of long work.
+
+    Shuffle files and broadcasts of finished queries go with it, and the heap that they took is given back.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written() -> set[str]:
     """The folders that ``cut`` wrote and nothing has removed."""
     return set(_left)

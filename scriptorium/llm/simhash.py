@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, remove, ship, text_of
-from .components import components
+from .components import MAX_BROADCAST, components
 
 DENSE = 4096
 WIDE_FROM = 2**26
@@ -198,10 +198,11 @@ def linked_rows(prints: DataFrame, distance: int = 4, dense: int = DENSE) -> Dat
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     degree = F.struct("links", F.col("v").alias("fp"))
     linked = cut(both.groupBy("v").agg(F.count("*").alias("links")), "simhash-degrees")
-    hubs = both.join(linked, "v").groupBy("u").agg(F.max(degree).alias("x")).select("u", F.col("x.fp").alias("v"))
+    sent = F.broadcast if linked.count() <= MAX_BROADCAST else lambda df: df  # what is joined has a row for each linked fingerprint at most
+    hubs = both.join(sent(linked), "v").groupBy("u").agg(F.max(degree).alias("x")).select("u", F.col("x.fp").alias("v"))
     roots = cut(components(links), "simhash-roots")
-    centres = roots.join(linked, F.col("node") == F.col("v")).groupBy("root").agg(F.max(degree).alias("x")).select("root", F.col("x.fp").alias("v"))
-    edges = hubs.unionByName(roots.join(centres, "root").select(F.col("node").alias("u"), "v"))
+    centres = roots.join(sent(linked), F.col("node") == F.col("v")).groupBy("root").agg(F.max(degree).alias("x")).select("root", F.col("x.fp").alias("v"))
+    edges = hubs.unionByName(roots.join(sent(centres), "root").select(F.col("node").alias("u"), "v"))
     between = edges.where("u <> v").distinct().join(told.toDF("u", "a"), "u").join(told.toDF("v", "b"), "v").select("a", "b")
     # A fingerprint that many rows share is one row on this side; the other is split where it is hot.
     within = prints.join(told, "fp").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))

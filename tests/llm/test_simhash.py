@@ -79,6 +79,49 @@ def test_long_chain_is_one_component(spark):
     assert {r.root for r in components(edges).collect()} == {0}
 
 
+def test_components_with_and_without_broadcasts_and_with_few_tasks_a_round(spark):
+    rnd = random.Random(7)
+    pairs = [(i, i + 1) for i in range(40)] + [(rnd.randrange(100, 400), rnd.randrange(100, 400)) for _ in range(200)] + [(500, i) for i in range(501, 560)] + [(600, 600), (5, 5), (4, 3)]
+    up = {}
+
+    def find(i):
+        while up.setdefault(i, i) != i:
+            i = up[i]
+        return i
+
+    for u, v in pairs:
+        if u != v:
+            a, b = sorted((find(u), find(v)))
+            up[b] = a
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    for most in (0, 10**6):
+        rows = components(edges, most).collect()
+        assert len(rows) == len(up) and {r.node: r.root for r in rows} == {i: find(i) for i in up}
+    assert components(edges.where("u = v")).count() == 0
+
+    # Of stars nothing is left to do, and what a round costs the driver are its tasks.
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+
+    def tasks(pairs):
+        group = f"components-{len(pairs)}"
+        df = spark.createDataFrame(pairs, "u long, v long")
+        sc.setJobGroup(group, group)
+        components(df)
+        seen = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+        return sum(i.numCompletedTasks for s in seen if (i := tracker.getStageInfo(s)))
+
+    try:
+        star, path = tasks([(0, i) for i in range(1, 60)]), tasks([(i, i + 1) for i in range(3)])
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert star < 4 * 40 and path < 15 * 40
+
+
 def test_linked_rows_have_the_components_of_all_close_rows(spark):
     rnd = random.Random(6)
     prints = {}
