@@ -19,7 +19,12 @@ The newest part that names a document or bibliography holds all that is true of
 parts of batches before it and overwrites its own, so a batch that is replayed after a failure gives the same
 tables again. Every ``compact`` batches what is true is written as a new base, which replaces the parts
 before; the base before it stays, so that the last batch can still be replayed. Joins are by path and
-key; no document's text is kept, and only keys and places are read again.
+key; no document's text is kept, and only keys and places are read again. The changes of a batch are in a table of
+their own while it is worked on.
+
+A text is one value, which a task must be able to hold. A bibliography that is too large for that comes in pieces, cut
+between entries: rows of the same path that differ in ``piece``, best of some kilobytes each, as texts are read by the
+thousand.
 
 A document's candidates, in order: the bibliography that its front matter names, beside it and then at
 each root (one that starts with ``/``: at the roots, then as it is), then the file of its own name. The
@@ -28,6 +33,8 @@ first that is there counts. A document without one has no diagnostics, nor has o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,12 +124,11 @@ class Workspace:
     # Batches
 
     def apply(self, changes: DataFrame, batch: int) -> None:
-        """Take ``path, change, text`` of one batch; of a file that is named more than once any one row should be right."""
-        changes = changes.select("path", "change", "text").persist()
+        """Take ``path, change, text``, and ``piece`` if there is one, of one batch; of a file (or piece) that is named more than once any one row should be right."""
         try:
             self._write(changes, batch)
         finally:
-            changes.unpersist()
+            self._delete(f"{self.folder}/parts/batch={batch}/changes")
         if self.every and (batch + 1) % self.every == 0:
             self._compact(batch)
 
@@ -132,16 +138,23 @@ class Workspace:
         return self.spark.read.schema(TABLES[table]).parquet(path)
 
     def _write(self, changes: DataFrame, batch: int) -> None:
-        last = changes.groupBy("path").agg(F.max_by(F.struct("change", "text"), F.col("change") != "deleted").alias("x")).select("path", (F.col("x.change") != "deleted").alias("live"), F.coalesce("x.text", F.lit("")).alias("text"))
-        docs, bibs = (last.where(F.lower("path").endswith(e)) for e in (".md", ".bib"))
+        is_doc, is_bib = (F.lower("path").endswith(e) for e in (".md", ".bib"))
+        piece = F.when(is_bib, F.col("piece").cast("string")) if "piece" in changes.columns else F.lit(None).cast("string")
+        given = changes.where(is_doc | is_bib).select("path", "change", "text", piece.alias("piece"))
+        last = given.groupBy("path", "piece").agg(F.max_by(F.struct("change", "text"), F.col("change") != "deleted").alias("x")).select("path", (F.col("x.change") != "deleted").alias("live"), F.coalesce("x.text", F.lit("")).alias("text"))
+        # Written once and not cached: a cache is built of whole columns in memory.
+        path = f"{self.folder}/parts/batch={batch}/changes"
+        last.write.mode("overwrite").parquet(path)
+        last = self.spark.read.schema("path string, live boolean, text string").parquet(path)
+        docs, bibs = last.where(is_doc), last.where(is_bib)
         live = docs.where("live")
         new = {"documents": self._put(docs.select("path", "live"), "documents", batch)}
         named = live.select("path", B.front_matter(F.col("text")).bibliography.alias("named"))
         new["candidates"] = self._put(named.select("path", F.posexplode(candidates(F.col("path"), F.col("named"), self.roots)).alias("priority", "bib")).select("path", "bib", "priority"), "candidates", batch)
         cited = scan.rows_from(live, _cited, "key string, start long, end long", key="path", only_if="@").drop("no")
         new["citations"] = self._put(cited, "citations", batch)
-        new["bibliographies"] = self._put(bibs.select(F.col("path").alias("bib"), "live"), "bibliographies", batch)
-        entries = B.entries(bibs.where("live").withColumnRenamed("path", "bib"), "bib").select("bib", F.col("entry").alias("key")).distinct()
+        new["bibliographies"] = self._put(bibs.groupBy(F.col("path").alias("bib")).agg(F.max("live").alias("live")), "bibliographies", batch)
+        entries = scan.rows_from(bibs.where("live").withColumnRenamed("path", "bib"), _keys, "key string", key="bib", only_if="@").select("bib", "key").distinct()
         new["entries"] = self._put(entries, "entries", batch)
 
         def now(table: str) -> DataFrame:
@@ -182,3 +195,8 @@ def _cited(text: str) -> list[tuple[str, int, int]]:
     """Keys that a text cites outside code, and where."""
     text = scan.blank_regions(text, scan.code_regions(text))
     return [(key, at, at + len(key)) for _, key, at in scan.citation_keys(text)]
+
+
+def _keys(text: str) -> Iterator[tuple[str]]:
+    """Keys of a bibliography's entries."""
+    return ((key,) for _, key, _, _ in scan.bib_entries(text))

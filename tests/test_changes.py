@@ -308,3 +308,28 @@ def test_a_followed_folder(spark, tmp_path):
     q.processAllAvailable()
     assert state(ws) == set()
     q.stop()
+
+
+def test_a_bibliography_may_come_in_pieces(spark, tmp_path):
+    schema = "path string, change string, text string, piece long"
+    ws = Workspace(spark, f"file://{tmp_path}/s", ["/w"])
+    doc = ("/w/a.md", "added", front("x", cites("k1", "k2", "k3", "k4")), None)
+    ws.apply(spark.createDataFrame([doc, ("/w/x.bib", "added", bibs("k1"), 7), ("/w/x.bib", "added", bibs("k2", "k9"), 8), ("/w/x.bib", "added", "", None)], schema), 0)
+    assert state(ws) == {("/w/a.md", "k3"), ("/w/a.md", "k4")}
+    ws.apply(spark.createDataFrame([("/w/x.bib", "changed", bibs("k4"), 1), ("/w/x.bib", "changed", bibs("k3"), 2), ("/w/x.bib", "deleted", None, None)], schema), 1)
+    assert state(ws) == {("/w/a.md", "k1"), ("/w/a.md", "k2")}
+    ws.apply(spark.createDataFrame([("/w/x.bib", "deleted", None, None)], schema), 2)
+    assert state(ws) == set()
+    assert not [d for d, *_ in os.walk(tmp_path / "s") if d.endswith("/changes")]  # no text is kept
+
+
+def test_no_row_of_a_bibliography_grows_with_the_parts(spark, tmp_path):
+    from scriptorium.plans import changes
+
+    longest = []
+    for n in (2_000, 20_000):
+        spark.range(n).selectExpr("CAST(id AS INT) AS p_partkey").write.parquet(f"{tmp_path}/{n}/part.parquet")
+        rows = changes._bib(spark, f"{tmp_path}/{n}", "/ws/x.bib", "p_partkey % 7 <> 3").collect()
+        longest.append(max(len(r.text) for r in rows))
+        assert sum(r.text.count("@misc") for r in rows) == sum(k % 7 != 3 for k in range(n))
+    assert longest[1] < longest[0] * 1.5
